@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from quillon.llm.bpe import op2_bpe
 from quillon.llm.token_count import op7_token_counts
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op7_token_counts": op7_token_counts,
 }
 
