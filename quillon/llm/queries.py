@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from quillon.llm import decontaminate
 from quillon.llm.bpe import op2_bpe
+from quillon.llm.decontaminate import op8_decontamination
 from quillon.llm.token_count import op7_token_counts
 
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": decontaminate.ORACLE,
+}
