@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate
+from quillon.llm import decontaminate, exact_dedup
 from quillon.llm.bpe import op2_bpe
 from quillon.llm.decontaminate import op8_decontamination
+from quillon.llm.exact_dedup import op4_exact_dedup
 from quillon.llm.token_count import op7_token_counts
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
 }
