@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, exact_dedup
+from quillon.llm import decontaminate, exact_dedup, pii
 from quillon.llm.bpe import op2_bpe
 from quillon.llm.decontaminate import op8_decontamination
 from quillon.llm.exact_dedup import op4_exact_dedup
+from quillon.llm.pii import op1_pii
 from quillon.llm.token_count import op7_token_counts
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_counts": op7_token_counts,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pii": pii.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
 }
