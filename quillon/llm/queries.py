@@ -9,10 +9,12 @@ from quillon.llm.exact_dedup import op4_exact_dedup
 from quillon.llm.language_id import op10_language_id
 from quillon.llm.pii import op1_pii
 from quillon.llm.token_count import op7_token_counts
+from quillon.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
