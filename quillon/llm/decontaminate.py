@@ -13,7 +13,6 @@ bounded size; documents pass all blocks in turn, so its size is not limited by a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,84 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import table, text_chunks
+from quillon.llm.words import ALNUM, LOWER, Words
 
 WINDOW = 13
 #: Text bytes of one block of the benchmark; a block is sent to every task.
 BLOCK_BYTES = 8_000_000
 
-_B = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_B_INVERSE = pow(_B, -1, 1 << 64)
-_IS_WORD = np.zeros(256, bool)
-_IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_SEGMENT = 1 << 16
-
-
-def _powers(base: int) -> np.ndarray:
-    out = np.empty(_SEGMENT + 1, np.uint64)
-    out[0] = 1
-    filled = 1
-    while filled <= _SEGMENT:
-        n = min(filled, _SEGMENT + 1 - filled)
-        with np.errstate(over="ignore"):
-            out[filled : filled + n] = out[:n] * np.uint64(pow(base, filled, 1 << 64))
-        filled += n
-    return out
-
-
-_UP, _DOWN = _powers(_B), _powers(_B_INVERSE)
-
-
-class Words:
-    """Words of a list of texts: byte ranges in `data`, a number for each, and the text each is from."""
-
-    def __init__(self, texts: list[str]):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        self.data = _LOWER[np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)]
-        inside = _IS_WORD[self.data]
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if inside[0]:
-            edge = np.append(0, edge)
-        self.start, self.stop = edge[::2], edge[1::2]
-        sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
-        self.text_end = np.cumsum(sizes)
-        self.doc = np.searchsorted(self.text_end, self.start, side="right")
-        self.number = self._numbers()
-
-    def _numbers(self) -> np.ndarray:
-        """A polynomial of each word's bytes modulo 2**64, mixed with its length."""
-        out = np.empty(len(self.start), np.uint64)
-        with np.errstate(over="ignore"):
-            at = 0
-            while at < len(self.start):
-                base = int(self.start[at])
-                to = int(np.searchsorted(self.stop, base + _SEGMENT, side="right"))
-                if to == at:  # one word longer than a segment
-                    digest = hashlib.blake2b(self.data[base : self.stop[at]].tobytes(), digest_size=8).digest()
-                    out[at] = int.from_bytes(digest, "little")
-                    at += 1
-                    continue
-                part = self.data[base : self.stop[to - 1]].astype(np.uint64) + np.uint64(1)
-                sums = np.append(np.uint64(0), np.cumsum(part * _UP[: len(part)]))
-                s, e = self.start[at:to] - base, self.stop[at:to] - base
-                h = (sums[e] - sums[s]) * _DOWN[s]
-                h ^= (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                h ^= h >> np.uint64(32)
-                out[at:to] = h * np.uint64(0xD6E8FEB86659FD93)
-                at = to
-        return out
-
-    def word(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.stop[i]].tobytes()
-
-
 class Benchmark:
     """A block of items, ready to be searched: the windows as rows of word ranks, and the words' numbers."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        w = Words([t or "" for _, t in items]) if items else None
+        w = Words([t or "" for _, t in items], ALNUM, LOWER) if items else None
         self.window = window
         self.vocabulary = np.unique(w.number) if w is not None else np.empty(0, np.uint64)
         rows, owner, sizes, first = [], [], [], []
@@ -172,9 +104,8 @@ class SuffixArray:
 
 def search(texts: list[str], bench: Benchmark) -> tuple[list[int], list[list[int]], list[list[str]]]:
     """Of each text: the number of words, the hit words as flat [from, to) pairs, and the items with occurring windows."""
-    words = Words(texts)
-    n_words = np.bincount(words.doc, minlength=len(texts))
-    base = np.cumsum(n_words) - n_words
+    words = Words(texts, ALNUM, LOWER)
+    n_words, base = words.count, words.first
     spans: list[list[int]] = [[] for _ in texts]
     items: list[set[int]] = [set() for _ in texts]
     cover = np.zeros(len(words.number) + 1, np.int64)

@@ -7,6 +7,7 @@ from quillon.llm.bpe import op2_bpe
 from quillon.llm.decontaminate import op8_decontamination
 from quillon.llm.exact_dedup import op4_exact_dedup
 from quillon.llm.language_id import op10_language_id
+from quillon.llm.near_dedup import op9_near_dedup
 from quillon.llm.pii import op1_pii
 from quillon.llm.token_count import op7_token_counts
 from quillon.llm.toxicity import op3_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
+    "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
