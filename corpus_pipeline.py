@@ -38,8 +38,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts but for white space one stays."""
-    return _only(docs, exact_groups(docs).where("kept"))
+    """Of documents with equal texts but for white space one stays, and one of rows that repeat an id and a text."""
+    kept = _only(docs, exact_groups(docs).where("kept"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").take(1)
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
