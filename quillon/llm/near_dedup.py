@@ -9,12 +9,15 @@ that level; a register keeps its first point's time. Two texts agree in a regist
 weighted Jaccard similarity. Processes are followed only up to the time by which all registers of a text are filled.
 
 *Classes.* Texts with equal words are one class from the start. Registers form bands; texts that share a band are
-candidates: all pairs of a bucket up to `SMALL` texts, otherwise each with the bucket's first text. Every candidate pair
-is verified on exact multisets. Distances of weighted Jaccard are a metric, so the texts of a large bucket that are not
-linked to its first one can only be linked to texts that are nearly as far from it; only those go on to the next round
-with a new first text, until none is left. Verified links are contracted to classes, named by their smallest id.
+candidates: all pairs of a bucket up to `SMALL` texts, otherwise each with the bucket's leading text, the one that is in
+the largest buckets by most bands. Every candidate pair is verified on exact multisets. A large bucket in which some text
+is joined to the leader by no chain of links is cut into smaller ones by each of `FURTHER` further bands, whose pairs with
+such texts are verified in turn; buckets that are still large are cut once more. Verified links are contracted to classes,
+named by their smallest id. What stays uncompared: pairs of two large groups of copies that share only large buckets, cut
+or not, and reach 0.8 although neither is that near to a leader of theirs; comparing them all would be quadratic.
 
-With bands of 7 registers and 64 bands, a pair of similarity 0.8 shares no band with probability 3e-7.
+With bands of 7 registers and 64 bands, a pair of similarity 0.8 shares no band with probability 3e-7; a pair that only
+shares large buckets, in mean 13 of them, shares none of their parts with probability 5e-6.
 
 Texts without words have no shingles and are classes of their own, as are null texts. Rows that repeat an id are one
 document. Columns other than the id and the text are not read.
@@ -25,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,12 @@ SIMILARITY = 0.8
 BANDS = 64
 ROWS = 7
 #: Buckets up to this size are compared in all pairs.
-SMALL = 10
+SMALL = 12
+#: Further bands that each cut a large bucket, and how often buckets are cut.
+FURTHER = 4
+LEVELS = 2
+#: Links that one task may contract.
+ONE_TASK = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,44 +161,83 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return with_both.mapInArrow(run, f"a {kind}, b {kind}, sim double")
 
 
-def candidates(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of buckets: all of small ones, the others' first text with each. members: key, id; sizes: key, n, lead."""
-    m = members.join(sizes, "key")
-    small = m.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+def small_pairs(m: DataFrame) -> DataFrame:
+    """All pairs (a < b) of buckets of at most SMALL texts. m: key, id."""
+    small = m.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     within = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = small.select(F.explode(within).alias("p")).select("p.a", "p.b")
-    large = m.where((F.col("n") > SMALL) & (F.col("id") != F.col("lead")))
-    led = large.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-    return pairs.unionByName(led).where("a <> b").distinct()
+    return small.select(F.explode(within).alias("p")).select("p.a", "p.b").where("a <> b")
 
 
-def links(reps: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """Verified links (a < b, sim) that connect every pair of candidates of similarity `least` or more. reps: id, bands; docs: id, t."""
+def links(reps: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a < b, sim) that connect all candidates of similarity `least` or more, and their components' roots.
+
+    reps: id, bands; docs: id, t. Pairs that links already connect are not compared.
+    """
     members = reps.select("id", F.explode("bands").alias("key"))
-    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1"), "buckets")
-    members = materialize(members.join(sizes.select("key"), "key"), "members")
-    pairs = materialize(candidates(members, sizes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(docs.join(wanted, "id", "left_semi"), "texts")
+    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = materialize(members.join(sizes, "key"), "members")
+    # A text that is in the largest buckets by most bands is at the centre of its copies: it leads its buckets.
+    weight = members.where(F.col("n") > SMALL).groupBy("id").agg(F.sum("n").alias("weight"))
+    large = materialize(members.where(F.col("n") > SMALL).join(weight, "id"), "large")
+    lead = large.groupBy("key").agg(F.min_by("id", F.struct(-F.col("weight"), "id")).alias("lead"))
+    led = materialize(large.join(lead, "key").where("id <> lead").select("key", "lead", "id", "n", "weight"), "led")
+    pairs = small_pairs(members.where(F.col("n") <= SMALL)).unionByName(led.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
+    pairs = materialize(pairs.distinct(), "pairs")
+    # Later rounds compare texts of the first one only.
+    texts = materialize(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
     known = materialize(verified(pairs, texts, size), "similarities")
-    large = sizes.where(F.col("n") > SMALL)
-    while True:
-        # What is left of large buckets: texts not linked to the first one, and those that may be linked to them.
-        m = members.join(large, "key").where("id <> lead").select("key", "id", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        far = m.join(known, ["a", "b"]).select("key", "id", (1 - F.col("sim")).alias("d"))
-        open_ = far.where(F.col("d") > 1 - least).groupBy("key").agg(F.min("d").alias("near"), F.min("id").alias("lead"))
-        left = materialize(far.join(open_, "key").where(F.col("d") >= F.col("near") - (1 - least) - 1e-9).select("key", "id", "lead"), "left")
-        sizes = materialize(left.groupBy("key").agg(F.count("*").alias("n"), F.min("lead").alias("lead")).where("n > 1"), "buckets")
-        if not sizes.take(1):
-            return known.where(F.col("sim") >= least)
-        members, large = left.select("key", "id"), sizes.where(F.col("n") > SMALL)
-        new = materialize(candidates(members, sizes).join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        known = known.unionByName(materialize(verified(new, texts, size), "similarities"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """The smallest id of each id's component, for ids other than it (id, root). edges: a, b."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    roots = materialize(components(known.where(F.col("sim") >= least).select("a", "b")), "roots")
+    far = led.withColumns({"a": F.least("id", "lead"), "b": F.greatest("id", "lead")}).join(known, ["a", "b"]).select("key", "lead", "id", "n", "weight", (1 - F.col("sim")).alias("d"))
+    # Large buckets with texts that no chain of links joins to the leader are taken apart by further bands.
+    now = _with_roots(far, roots).withColumn("open", F.col("root") != F.col("lead_root"))
+    broken = now.where("open").select("key").distinct()
+    rest = now.join(broken, "key", "left_semi").join(reps.select("id", F.col("bands").alias("own")), "id")
+    rest = materialize(rest.select("key", "id", "weight", "root", "open", "own", (F.array_position("own", F.col("key")) - 1).cast("int").alias("at")), "rest")
+    found = []
+    for level in range(LEVELS):
+        inner = _split_by_further_bands(rest, 1 + level * FURTHER)
+        groups = inner.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.struct(-F.col("weight"), "id")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("open").alias("any"))
+        groups = materialize(groups.where("n > 1 and r0 <> r1 and any").select("key", "n", "lead"), "inner-buckets")
+        if not groups.take(1):
+            break
+        rest = materialize(inner.join(groups, "key"), "inner-members")
+        found.append(small_pairs(rest.where(F.col("n") <= SMALL)))
+        rest = rest.where(F.col("n") > SMALL)
+        found.append(rest.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
+        rest = rest.drop("n", "lead")
+    if found:
+        more = reduce(DataFrame.unionByName, found).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        known = known.unionByName(materialize(verified(more, texts, size), "similarities"))
+        roots = materialize(components(known.where(F.col("sim") >= least).select("a", "b")), "roots")
+    return known.where(F.col("sim") >= least), roots
+
+
+def _split_by_further_bands(rows: DataFrame, first: int) -> DataFrame:
+    """Each bucket cut by the bands that follow its own: texts of similarity 0.8 share one of them and its band nearly surely."""
+    parts = []
+    for step in range(first, first + FURTHER):
+        other = F.element_at("own", (F.col("at") + step) % F.size("own") + 1)
+        parts.append(rows.withColumn("key", F.xxhash64("key", F.lit(step), other)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Columns root (of id) and lead_root (of lead)."""
+    own = roots.select("id", "root")
+    led = roots.select(F.col("id").alias("lead"), F.col("root").alias("lead_root"))
+    return rows.join(own, "id", "left").join(led, "lead", "left").withColumn("root", F.coalesce("root", "id")).withColumn("lead_root", F.coalesce("lead_root", "lead"))
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """The smallest id of each id's component, for ids other than it (id, root). edges: a, b.
+
+    Up to `one_task` edges are contracted by a union-find in one task; more of them by large and small stars, a few rounds
+    of joins over all executors. Either gives the same rows.
+    """
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    if edges.count() <= one_task:
+        return _union_find(edges)
+    edges = materialize(edges.distinct(), "edges")
     state = None
     while True:
         # Large star: larger neighbours of a node go to its smallest one. Small star: smaller ones and the node itself.
@@ -206,6 +254,30 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _union_find(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root.setdefault(up, up)
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = find(u), find(v)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        out = [(x, r) for x in root if (r := find(x)) != x]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([r for _, r in out], kind)], names=["id", "root"])
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(run, f"id {kind}, root {kind}")
+
+
 def near_classes(docs: DataFrame, *, least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, class_id (the smallest id of its class), n_shingles."""
 
@@ -222,8 +294,7 @@ def near_classes(docs: DataFrame, *, least: float = SIMILARITY, size: int = SHIN
     full = base.where("n_shingles > 0 and id is not null")
     first = materialize(full.groupBy("digest").agg(F.min("id").alias("rep")), "representatives")
     reps = full.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "bands")
-    found = links(reps, named.select("id", F.coalesce("t", F.lit("")).alias("t")), least=least, size=size)
-    roots = materialize(components(found.select("a", "b")), "roots")
+    _, roots = links(reps, named.select("id", F.coalesce("t", F.lit("")).alias("t")), least=least, size=size)
     of_rep = first.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     of_rep = materialize(of_rep, "classes")
     return base.select("id", "digest", "n_shingles").join(of_rep, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), "n_shingles")
