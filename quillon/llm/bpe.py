@@ -30,11 +30,9 @@ class PairIndex:
     """Merges of one vocabulary, applied to many words at once."""
 
     def __init__(self, vocab: Vocabulary):
-        first: dict[int, int] = {}
-        for r, (a, b, c) in enumerate(vocab.merges):
-            if first.get(a, -1) >= r or first.get(b, -1) >= r or c in first:
-                raise ValueError("merges are not in the order in which their tokens arise")
-            first[c] = r
+        made_at = {c: r for r, (_, _, c) in enumerate(vocab.merges)}
+        if len(made_at) < len(vocab.merges) or any(made_at.get(t, -1) >= r for r, (a, b, _) in enumerate(vocab.merges) for t in (a, b)):
+            raise ValueError("merges are not in the order in which their tokens arise")
         ids = vocab.ids()
         self.inner = np.array([ids[c] for c in printable_bytes()], np.int64)
         self.final = np.array([ids[c + vocab.suffix] for c in printable_bytes()], np.int64)
