@@ -30,7 +30,7 @@ FEATURES = 1 << 15
 PER_LANGUAGE = 400
 UNDETERMINED = "und"
 #: A lead of the best codeword's loss below this is ambiguous.
-AMBIGUOUS = 0.05
+AMBIGUOUS = 0.02
 _STEP = 400_000
 
 
