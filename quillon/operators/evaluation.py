@@ -42,7 +42,7 @@ def concordance(df: DataFrame, time: str, event: str, risk: str, by: str) -> Dat
     pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.t") < F.col("b.t")))
     n = F.col("a.n") * F.col("b.n")
     good = F.when(F.col("a.r") > F.col("b.r"), 1.0).when(F.col("a.r") == F.col("b.r"), 0.5).otherwise(0.0)
-    return pairs.agg(F.sum(n).alias("n_pairs"), F.round(F.sum(n * good) / F.sum(n), 6).alias("c_index"))
+    return pairs.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_pairs"), F.round(F.try_divide(F.sum(n * good), F.sum(n)), 6).alias("c_index"))
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int) -> DataFrame:
