@@ -19,6 +19,8 @@ or not, and reach 0.8 although neither is that near to a leader of theirs; compa
 With bands of 7 registers and 64 bands, a pair of similarity 0.8 shares no band with probability 3e-7; a pair that only
 shares large buckets, in mean 13 of them, shares none of their parts with probability 5e-6.
 
+Joins whose sides both grow with the corpus are merge joins at every size, so that small runs tell how large ones grow.
+
 Texts without words have no shingles and are classes of their own, as are null texts. Rows that repeat an id are one
 document. Columns other than the id and the text are not read.
 """
@@ -155,8 +157,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 sims.append(similarity(held[1], multiset(tb[i].as_py(), size)))
             yield pa.RecordBatch.from_arrays([ids_a, ids_b, pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
+    with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
     kind = pairs.schema["a"].dataType.simpleString()
     return with_both.mapInArrow(run, f"a {kind}, b {kind}, sim double")
 
@@ -175,7 +177,7 @@ def links(reps: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, size:
     """
     members = reps.select("id", F.explode("bands").alias("key"))
     sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = materialize(members.join(sizes, "key"), "members")
+    members = materialize(members.join(sizes.hint("merge"), "key"), "members")
     # A text that is in the largest buckets by most bands is at the centre of its copies: it leads its buckets.
     weight = members.where(F.col("n") > SMALL).groupBy("id").agg(F.sum("n").alias("weight"))
     large = materialize(members.where(F.col("n") > SMALL).join(weight, "id"), "large")
@@ -184,7 +186,7 @@ def links(reps: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, size:
     pairs = small_pairs(members.where(F.col("n") <= SMALL)).unionByName(led.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
     pairs = materialize(pairs.distinct(), "pairs")
     # Later rounds compare texts of the first one only.
-    texts = materialize(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
+    texts = materialize(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id", "left_semi"), "texts")
     known = materialize(verified(pairs, texts, size), "similarities")
     roots = materialize(components(known.where(F.col("sim") >= least).select("a", "b")), "roots")
     far = led.withColumns({"a": F.least("id", "lead"), "b": F.greatest("id", "lead")}).join(known, ["a", "b"]).select("key", "lead", "id", "n", "weight", (1 - F.col("sim")).alias("d"))
@@ -293,11 +295,11 @@ def near_classes(docs: DataFrame, *, least: float = SIMILARITY, size: int = SHIN
     base = materialize(map_text(named, schema, make, text_col="t", keep=("id",)), "signatures")
     full = base.where("n_shingles > 0 and id is not null")
     first = materialize(full.groupBy("digest").agg(F.min("id").alias("rep")), "representatives")
-    reps = full.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "bands")
+    reps = full.join(first.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select("id", "bands")
     _, roots = links(reps, named.select("id", F.coalesce("t", F.lit("")).alias("t")), least=least, size=size)
     of_rep = first.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     of_rep = materialize(of_rep, "classes")
-    return base.select("id", "digest", "n_shingles").join(of_rep, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), "n_shingles")
+    return base.select("id", "digest", "n_shingles").join(of_rep.hint("merge"), "digest", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), "n_shingles")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
