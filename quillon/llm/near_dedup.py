@@ -10,14 +10,13 @@ weighted Jaccard similarity. Processes are followed only up to the time by which
 
 *Classes.* Texts with equal words are one class from the start. Registers form bands; texts that share a band are
 candidates: all pairs of a bucket up to `SMALL` texts, otherwise each with the bucket's leading text, the one that is in
-the largest buckets by most bands. Every candidate pair is verified on exact multisets. A large bucket in which some text
-is joined to the leader by no chain of links is cut into smaller ones by each of `FURTHER` further bands, whose pairs with
-such texts are verified in turn; buckets that are still large are cut once more. Verified links are contracted to classes,
-named by their smallest id. What stays uncompared: pairs of two large groups of copies that share only large buckets, cut
-or not, and reach 0.8 although neither is that near to a leader of theirs; comparing them all would be quadratic.
+the largest buckets by most bands. Every candidate pair is verified on exact multisets. The texts of large buckets in
+which some text is joined to the leader by no chain of links go through an exact join on their rarest shingles, which
+yields all their pairs of similarity 0.8 that links don't connect yet; these are verified in turn. Verified links are
+contracted to classes, named by their smallest id. Nothing that shares a band stays uncompared and unconnected; where very
+many texts of different classes have even their rarest shingles in common, the join's candidates grow with their square.
 
-With bands of 7 registers and 64 bands, a pair of similarity 0.8 shares no band with probability 3e-7; a pair that only
-shares large buckets, in mean 13 of them, shares none of their parts with probability 5e-6.
+With bands of 7 registers and 64 bands, a pair of similarity 0.8 shares no band with probability 3e-7.
 
 Joins whose sides both grow with the corpus are merge joins at every size, so that small runs tell how large ones grow.
 
@@ -30,7 +29,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import map_text, materialize, table
+from quillon.llm.common import map_text, materialize, table, text_chunks
 from quillon.llm.words import NONSPACE, Words, mixed, runs
 
 SHINGLE = 5
@@ -47,9 +45,8 @@ BANDS = 64
 ROWS = 7
 #: Buckets up to this size are compared in all pairs.
 SMALL = 12
-#: Further bands that each cut a large bucket, and how often buckets are cut.
-FURTHER = 4
-LEVELS = 2
+#: Cells in which shingles are counted to tell common ones from rare ones: 2 ** SKETCH_BITS.
+SKETCH_BITS = 20
 #: Links that one task may contract.
 ONE_TASK = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -193,34 +190,77 @@ def links(reps: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, size:
     # Large buckets with texts that no chain of links joins to the leader are taken apart by further bands.
     now = _with_roots(far, roots).withColumn("open", F.col("root") != F.col("lead_root"))
     broken = now.where("open").select("key").distinct()
-    rest = now.join(broken, "key", "left_semi").join(reps.select("id", F.col("bands").alias("own")), "id")
-    rest = materialize(rest.select("key", "id", "weight", "root", "open", "own", (F.array_position("own", F.col("key")) - 1).cast("int").alias("at")), "rest")
-    found = []
-    for level in range(LEVELS):
-        inner = _split_by_further_bands(rest, 1 + level * FURTHER)
-        groups = inner.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.struct(-F.col("weight"), "id")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("open").alias("any"))
-        groups = materialize(groups.where("n > 1 and r0 <> r1 and any").select("key", "n", "lead"), "inner-buckets")
-        if not groups.take(1):
-            break
-        rest = materialize(inner.join(groups, "key"), "inner-members")
-        found.append(small_pairs(rest.where(F.col("n") <= SMALL)))
-        rest = rest.where(F.col("n") > SMALL)
-        found.append(rest.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
-        rest = rest.drop("n", "lead")
-    if found:
-        more = reduce(DataFrame.unionByName, found).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = known.unionByName(materialize(verified(more, texts, size), "similarities"))
+    rest = materialize(now.join(broken, "key", "left_semi").select("id", "root").distinct(), "rest")
+    if rest.take(1):
+        more = prefix_pairs(texts.join(rest.hint("merge"), "id"), least=least, size=size).join(known.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        known = known.unionByName(materialize(verified(materialize(more, "more-pairs"), texts, size), "similarities"))
         roots = materialize(components(known.where(F.col("sim") >= least).select("a", "b")), "roots")
     return known.where(F.col("sim") >= least), roots
 
 
-def _split_by_further_bands(rows: DataFrame, first: int) -> DataFrame:
-    """Each bucket cut by the bands that follow its own: texts of similarity 0.8 share one of them and its band nearly surely."""
-    parts = []
-    for step in range(first, first + FURTHER):
-        other = F.element_at("own", (F.col("at") + step) % F.size("own") + 1)
-        parts.append(rows.withColumn("key", F.xxhash64("key", F.lit(step), other)))
-    return reduce(DataFrame.unionByName, parts)
+def _elements(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and number of each shingle, the k-th of equal ones as an element of its own: weighted Jaccard is that of these sets."""
+    owner, number, weight = shingles(Words(texts, NONSPACE), size)
+    rep = np.repeat(np.arange(len(owner)), weight)
+    k = np.arange(len(rep)) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        return owner[rep], mixed(number[rep] + k.astype(np.uint64) * _GOLD)
+
+
+def _cell(element: np.ndarray) -> np.ndarray:
+    return (element >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def prefix_pairs(texts: DataFrame, *, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """Candidates (a < b) of different roots, all pairs of similarity `least` or more among them. texts: id, t, root.
+
+    Elements are ordered by how many texts have one of their cell, rare ones first: any order gives all pairs, this one few
+    candidates. Of two texts the one with fewer elements has at least 2s / (1 + s) of its own in common with a text of
+    similarity s, the other one at least s; so the first of the common ones is among the first 1 - 2s / (1 + s) of the
+    smaller text's and the first 1 - s of the larger one's, with enough elements behind it in both.
+    """
+    spark = texts.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for _, some in text_chunks(batch, "t"):
+                n += np.bincount(_cell(_elements(some, size)[1]), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    counted = texts.select("t").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << SKETCH_BITS, np.int64)  # counts beyond 2 ** 32 wrap: only the order of rare and common suffers
+    common[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(common.astype(np.uint32))
+
+    def make():
+        def f(some: list[str]) -> dict[str, list]:
+            owner, element = _elements(some, size)
+            by = np.lexsort((element, sent.value[_cell(element)], owner))
+            owner, element = owner[by], element[by]
+            total = np.bincount(owner, minlength=len(some))
+            n = total[owner]
+            place = np.arange(len(owner)) - (np.cumsum(total) - total)[owner]
+            keep = place <= n - np.ceil(least * n - 1e-6)
+            bounds = np.searchsorted(owner[keep], np.arange(1, len(some)))
+            return {"n": total.tolist(), "first": np.split(element[keep].view(np.int64), bounds)}
+
+        return f
+
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(T.LongType()))])
+    first = map_text(texts, schema, make, text_col="t", keep=("id", "root"))
+    first = materialize(first.select("id", "root", "n", F.posexplode("first").alias("place", "element")), "prefixes")
+    sent.destroy()  # workers would hold it on
+    small = first.where(F.col("place") <= F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - 1e-6))
+    x = small.select("element", *(F.col(c).alias(f"{c}_x") for c in ("id", "root", "n", "place")))
+    y = first.select("element", *(F.col(c).alias(f"{c}_y") for c in ("id", "root", "n", "place")))
+    behind = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    pairs = x.join(y.hint("merge"), "element").where(
+        (F.col("root_x") != F.col("root_y")) & (F.struct("n_x", "id_x") < F.struct("n_y", "id_y")) & (F.col("n_x") >= least * F.col("n_y") - 1e-6)
+        & (behind >= least / (1 + least) * (F.col("n_x") + F.col("n_y")) - 1e-6)
+    )
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:

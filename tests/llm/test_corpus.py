@@ -214,6 +214,21 @@ def test_near_classes(spark):
     assert near_classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_pairs_under_a_common_template(spark):
+    """All texts are 0.7 alike and share large buckets, some pairs reach 0.8: none of these may be lost."""
+    r = random.Random(8)
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    template = [f"t{i}" for i in range(104)]
+    rows = []
+    for i in range(0, 600, 2):
+        common = own(11 if i % 4 else 4)
+        rows += [(k, " ".join(template + common + own(21 - len(common)))) for k in (i, i + 1)]
+    want = classes(rows)
+    assert sum(i != c for i, c in want.items()) == 150
+    got = {x.doc_id: x.class_id for x in near_classes(docs(spark, rows), bands=16, rows=3).collect()}
+    assert got == want
+
+
 def test_near_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
     assert {x.doc_id: x.class_id for x in op9_near_dedup(spark, sf_dir).collect()} == classes(rows)
