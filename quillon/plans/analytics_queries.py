@@ -33,11 +33,10 @@ def tfidf_top_terms(spark, sf_dir):
 def hashing_tf(spark, sf_dir):
     """Hashed term frequencies as sparse vectors: number of entries and their sum for each document."""
     from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
 
     t = docs(spark, sf_dir).select("doc_id", word_tokens(F.col("text")).alias("tokens"))
-    v = HashingTF(inputCol="tokens", outputCol="v", numFeatures=1 << 12).transform(t).select("doc_id", vector_to_array("v").alias("v"))
-    return v.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).alias("n_entries"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    v = HashingTF(inputCol="tokens", outputCol="v", numFeatures=1 << 18).transform(t).select("doc_id", F.unwrap_udt("v")["values"].alias("v"))
+    return v.select("doc_id", F.size("v").alias("n_entries"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"

@@ -14,6 +14,7 @@ from quillon.operators import inference, ontology, series
 from quillon.operators.annotations import from_lineitem, long_form, normal_code
 from quillon.operators.clusters import density_clusters
 from quillon.operators.confusion import confusion_counts, with_metrics
+from quillon.plans import reference_queries
 from quillon.sources import files
 from quillon.sources.tables import table
 from quillon.streaming import events as stream_events
@@ -133,6 +134,13 @@ def test_provider(spark):
     assert "not stated" in files.provider_map(p, files.dry_run).first().raw_response
 
 
+def test_hashed_terms_of_a_long_document(spark, tmp_path):
+    rows = [(1, " ".join(f"w{i}" for i in range(5000)) + " w1", "en", "s"), (2, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in reference_queries()["hashing_tf"](spark, str(tmp_path)).collect()}
+    assert got[1].n_entries > 4900 and got[1].total == 5001 and (got[2].n_entries, got[2].total) == (0, 0.0)
+
+
 def test_streams_agree_with_tables(spark, sf_dir, tmp_path):
     e = table(spark, sf_dir, "events")
     e.write.parquet(str(tmp_path / "in"))
