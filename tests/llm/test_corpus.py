@@ -139,7 +139,7 @@ def test_loser_tree(k):
 # --- 8
 
 
-@pytest.mark.parametrize("block", [8_000_000, 40])
+@pytest.mark.parametrize("block", [8_000_000, 40, 15])
 def test_contamination(spark, block):
     r = random.Random(4)
     w = ["Ab", "ab", "c1", "é", "z"]
@@ -162,7 +162,22 @@ def test_contamination(spark, block):
         x = got[i]
         assert (x.n_words, x.n_hit, x.n_items, x["items"]) == (len(d), len(hit), len(seen), sorted(seen)), i
         assert x.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(d))
+        assert sorted(q for s in x.spans for q in range(s["from"], s["to"])) == sorted(hit)
+        longest = {}
+        for k, t in items:
+            b_ = find(t)
+            for p in range(len(d)):
+                for q in range(len(b_)):
+                    n = next((n for n in range(min(len(d) - p, len(b_) - q)) if d[p + n] != b_[q + n]), min(len(d) - p, len(b_) - q))
+                    if n >= min(4, len(b_)):
+                        longest[str(k)] = max(longest.get(str(k), 0), n)
+        assert {m.item: m.words for m in x.matches} == longest
+        for m in x.matches:
+            assert d[m.at : m.at + m.words] == find(dict(items)[int(m.item)])[m.item_at : m.item_at + m.words]
+    edge = contamination(docs(spark, EDGE), b).collect()
+    assert len(edge) == len(EDGE) and not any(x.contaminated for x in edge if not find(dict(EDGE)[x.doc_id]))
     assert contamination(docs(spark, EDGE), b.limit(0)).where("contaminated").count() == 0
+    assert contamination(docs(spark, EDGE).limit(0), b).count() == 0
 
 
 # --- 9
