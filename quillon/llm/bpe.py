@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -115,7 +114,7 @@ class PairIndex:
 class Codec:
     """Encodes and decodes texts with one vocabulary file. Words seen before are looked up, in bounded memory."""
 
-    def __init__(self, path: str, most_words: int = 120_000):
+    def __init__(self, path: str, most_words: int = 80_000):
         self.vocab = Vocabulary.load(path)
         self.pairs = PairIndex(self.vocab)
         specials = sorted(self.vocab.specials, key=len, reverse=True)
@@ -179,12 +178,6 @@ class Codec:
         return [[int(i) for w in words for i in self.known[w][1].split()] for words in self.prepare(texts)]
 
 
-@lru_cache(maxsize=2)
-def worker_codec(path: str) -> Codec:
-    """One per Python worker: words it has encoded serve the worker's later tasks."""
-    return Codec(path)
-
-
 def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -199,7 +192,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, outputs: tuple[str
     fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(o, kinds[o]) for o in outputs)]
 
     def make():
-        codec = worker_codec(tokenizer_path)
+        codec = Codec(tokenizer_path)
 
         def f(texts: list[str]) -> dict[str, list]:
             out: dict[str, list] = {"n_tokens": [], **{o: [] for o in outputs}}

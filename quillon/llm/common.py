@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text characters that one step of a Python worker handles at once; bounds its memory whatever a batch holds.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
+#: Bytes of an Arrow batch on its way to a Python worker (a row at least).
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -23,9 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset, a session in one process (tests) gets a temporary folder; on a cluster it is an error, as executors
+    would not see each other's files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,10 +66,31 @@ def _drop_scratch() -> None:
             return
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches for Python workers at BATCH_BYTES; a smaller setting stays."""
+    if (now := int(spark.conf.get(_BATCH).rstrip("b"))) > BATCH_BYTES or now <= 0:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Memory that a finished task has freed goes back to the system: idle workers hold on to little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def text_chunks(batch: pa.RecordBatch, text_col: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with at most `most` characters of text (one row at least); null text becomes empty."""
+    """Slices of a batch with at most `most` characters of text (one row at least); null text becomes empty.
+
+    text_col may name a field of a struct column: "column.field".
+    """
     start, held, texts = 0, 0, []
-    column = batch.column(batch.schema.get_field_index(text_col))
+    name, _, field = text_col.partition(".")
+    column = batch.column(batch.schema.get_field_index(name))
+    if field:
+        column = column.field(field)
     for i in range(batch.num_rows):
         t = column[i].as_py() or ""
         if texts and held + len(t) > most:
@@ -78,27 +109,35 @@ def map_text(
     *,
     text_col: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
+    chunk: int = CHUNK_CHARS,
 ) -> DataFrame:
     """Rows of docs with the columns `keep` and those that a worker-side function makes of whole texts.
 
-    make() runs once per task and returns f(texts) -> {column: values}; schema lists the added columns only.
+    make() runs once per task and returns f(texts) -> {column: values}; what it holds goes when the task ends. schema lists
+    the added columns only. text_col may be a field of a kept struct column ("column.field"): the text is then sent once.
     """
-    kept = docs.select(*keep, text_col)
+    name = text_col.partition(".")[0]
+    kept = docs.select(*keep, *([] if name in keep else [text_col]))
     fields = [kept.schema[k] for k in keep] + list(schema.fields)
     out = T.StructType(fields)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
         f = make()
-        for batch in batches:
-            for rows, texts in text_chunks(batch, text_col):
-                got = f(texts)
-                cols = [rows.column(rows.schema.get_field_index(k)) for k in keep]
-                arrays = [c.cast(a.type) for c, a in zip(cols, arrow)]
-                arrays += [pa.array(got[a.name], a.type) for a in list(arrow)[len(keep) :]]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        try:
+            for batch in batches:
+                for rows, texts in text_chunks(batch, text_col, chunk):
+                    got = f(texts)
+                    cols = [rows.column(rows.schema.get_field_index(k)) for k in keep]
+                    arrays = [c if c.type == a.type else c.cast(a.type) for c, a in zip(cols, arrow)]
+                    arrays += [pa.array(got[a.name], a.type) for a in list(arrow)[len(keep) :]]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            f = None
+            give_back()
 
     return kept.mapInArrow(run, out)
 

@@ -8,7 +8,9 @@ are nearly as good is flagged as ambiguous. Codes are exhaustive up to seven lan
 Fitting reads a sample of the labelled rows: about `per_language` of each language, chosen by a hash of the id. Only
 n-gram counts by language and sums by bit come to the driver (at most languages * `FEATURES` numbers).
 
-Null texts and texts without a letter are `und` with score 0. Without labelled rows every text is `und`.
+Null texts and texts without a letter are `und` with score 0. Without labelled rows every text is `und`. Of languages
+whose codewords have the same loss the first in alphabetical order wins, and the document is ambiguous. Repeated rows are
+judged, and learned from, one by one; an empty table gives no rows; columns other than id, text and label are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import doc_bucket, map_text, table, text_chunks
+from quillon.llm.common import doc_bucket, map_text, materialize, small_batches, table, text_chunks
 
 FEATURES = 1 << 15
 PER_LANGUAGE = 400
@@ -132,10 +134,12 @@ def fit(rows: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc
         return Model([], np.ones((0, 1)), np.zeros((FEATURES, 1)), np.ones(1), np.ones(1))
     chance = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))))
     drawn = (F.pmod(F.xxhash64("i", F.lit("language-id")), F.lit(1_000_000)) / 1_000_000) < F.element_at(chance, F.col("l"))
-    sample = rows.where(drawn).select("l", "t")
+    sample = materialize(rows.where(drawn).select("l", "t"), "language-sample")  # written once, read twice
     code = codewords(len(languages))
     index = {k: i for i, k in enumerate(languages)}
 
+    small_batches(rows.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), FEATURES), np.int64)
         for batch in batches:

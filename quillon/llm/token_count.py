@@ -238,12 +238,6 @@ class Counter:
         return sums[state]
 
 
-@lru_cache(maxsize=2)
-def worker_counter(path: str) -> TokenCounter:
-    """One per Python worker: what it has compiled serves the worker's later tasks."""
-    return TokenCounter(path)
-
-
 class TokenCounter:
     """Counts of whole texts. Pieces seen before in a task are looked up; the memory for them is bounded."""
 
@@ -290,7 +284,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 1024, id_
     """
 
     def make():
-        counter = worker_counter(tokenizer_path)
+        counter = TokenCounter(tokenizer_path)
 
         def f(texts: list[str]) -> dict[str, list]:
             n = counter.counts(texts)
