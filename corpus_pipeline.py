@@ -20,8 +20,8 @@ from quillon.llm.near_dedup import near_classes
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """The whole row in one column, beside the text: no other column can clash with an operator's own."""
-    return docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text"))
+    """The whole row in one column, which an operator takes the text out of: sent once, and no other column can clash."""
+    return docs.select(F.struct("*").alias("_doc"))
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those between two languages, go."""
     model = fit(docs.where(~held_out()))
-    judged = identify(_carried(docs), model, id_col="_doc", text_col="_text")
+    judged = identify(_carried(docs), model, id_col="_doc", text_col="_doc.text")
     return judged.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).select("_doc.*")
 
 
@@ -51,7 +51,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a benchmark's passages make up a twentieth of, or more, go."""
-    judged = contamination(_carried(docs), table(spark, sf_dir, "benchmark"), id_col="_doc", text_col="_text")
+    judged = contamination(_carried(docs), table(spark, sf_dir, "benchmark"), id_col="_doc", text_col="_doc.text")
     return judged.where(~F.col("contaminated")).select("_doc.*")
 
 
