@@ -1,13 +1,15 @@
-"""Personal data in text (operator 1), in DataFrame operations only.
-
-Regular expressions propose spans; checksums (Luhn for cards, modulo 97 for IBANs) and ranges confirm them; words within
-`CONTEXT` characters before a span adjust its score. Kinds email, ip, card and phone are kept whenever they are
-confirmed. Kinds iban and ssn come on top: an IBAN needs its checksum, an ssn a context word that lifts its score to
-`REPORT_FROM`. Possessive quantifiers and look-behind keep matching linear and without recursion on very long runs of
-digits or address characters; the matches are the leftmost ones that do not overlap.
-
-Positions are code points, end exclusive. They follow from the lengths of the stretches between matches. Null text is
-empty text; an empty table gives no rows; rows keep their number; other columns are not read.
+"""Personal data and secrets in text (operator 1), in DataFrame operations only.
+
+Regular expressions propose spans; checksums (Luhn for cards, modulo 97 for IBANs) and ranges confirm them; words before a
+span, within `CONTEXT` characters and back to the previous match of its kind at most, adjust its score. Kinds email, ip,
+card and phone are kept whenever they are confirmed. Kinds iban, ssn and secret come on top: an IBAN needs its checksum, an
+ssn a context word that lifts its score to `REPORT_FROM`, a secret (access key, assigned password or token, head of a
+private key) its form. Possessive quantifiers and look-behind keep matching linear and without recursion on very long runs
+of digits or address characters; the matches are the leftmost ones that do not overlap.
+
+Positions are code points, end exclusive: running sums of the lengths of matches and of the stretches between them, so a
+text's time grows with its length and number of matches. Null text is empty text; an empty table gives no rows; rows keep
+their number, also where ids repeat; spans with equal starts are in the order of KINDS; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,14 @@ KINDS: dict[str, tuple[str, float, str]] = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "call|phone|tel|fax|mobile"),
     "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.8, "iban|account|bank"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social|security|insurance"),
+    "secret": (
+        r"AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----|(?i:password|passwd|secret|token|api[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\x22\x27]?[A-Za-z0-9+/_.-]{8,200}",
+        0.9,
+        "secret|private|credential|login",
+    ),
 }
+#: Running sums are gathered in stretches of this length.
+_STRETCH = 256
 BASE = ("email", "ip", "card", "phone")
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
@@ -70,25 +79,32 @@ def _confirmed(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, order: int, text: Column, found: Column) -> Column:
-    """Confirmed spans of one kind: array of (start, order, kind, end, score)."""
-    pattern, score, words = KINDS[kind]
-    between = F.split(text, pattern, -1)
+def _running_sums(lengths: Column) -> Column:
+    """Sums of the entries up to each one, gathered in short stretches: appending to one long array would copy it each time."""
+
+    def add(state: Column, x: Column) -> Column:
+        at = state["at"] + x
+        now = F.concat(state["now"], F.array(at))
+        full = F.size(state["now"]) >= _STRETCH - 1
+        return F.struct(
+            F.when(full, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"), F.when(full, F.array().cast("array<int>")).otherwise(now).alias("now"), at.alias("at")
+        )
+
+    start = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("now"), F.lit(0).alias("at"))
+    return F.aggregate(lengths, start, add, lambda s: F.flatten(F.concat(s["done"], F.array(s["now"]))))
+
+
+def _spans(kind: str, order: int, matches: Column) -> Column:
+    """Confirmed spans of one kind: array of (s, o, k, e, score). matches: array of (m, b, e), the match, the stretch before, the end."""
+    _, score, words = KINDS[kind]
     none = F.array().cast("array<struct<s:int,o:int,k:string,e:int,score:double>>")
 
-    def add(state: Column, i: Column) -> Column:
-        s = state["at"] + F.length(F.element_at(between, i))
-        e = s + F.length(F.element_at(found, i))
-        before = F.lower(F.substr(text, F.greatest(s - CONTEXT + 1, F.lit(1)), F.least(s, F.lit(CONTEXT))))
-        points = F.lit(score) + F.when(before.rlike(words), 0.4).otherwise(0.0)
-        span = F.struct(s.alias("s"), F.lit(order).alias("o"), F.lit(kind).alias("k"), e.alias("e"), points.alias("score"))
-        ok = _confirmed(kind, F.element_at(found, i))
-        if kind not in BASE:
-            ok = ok & (points >= REPORT_FROM)
-        return F.struct(e.alias("at"), F.when(ok, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+    def span(x: Column) -> Column:
+        points = F.lit(score) + F.when(F.lower(F.right(x["b"], F.lit(CONTEXT))).rlike(words), 0.4).otherwise(0.0)
+        return F.struct((x["e"] - F.length(x["m"])).alias("s"), F.lit(order).alias("o"), F.lit(kind).alias("k"), x["e"].alias("e"), points.alias("score"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(found)), start, add, lambda s: s["spans"]))
+    found = F.transform(F.filter(matches, lambda x: _confirmed(kind, x["m"])), span)
+    return F.when(F.size(matches) == 0, none).otherwise(found if kind in BASE else F.filter(found, lambda x: x["score"] >= REPORT_FROM))
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,8 +116,14 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     empty = F.array().cast("array<string>")
     found = docs.select(F.col(id_col).alias("_id"), text.alias("_t"))
     found = found.select("_id", "_t", digit.alias("_digit"))
-    found = found.select("_id", "_t", *(F.when(F.col("_digit") & needs.get(k, F.lit(True)) if k != "email" else needs[k], F.regexp_extract_all("_t", F.lit(p), F.lit(0))).otherwise(empty).alias(f"_{k}") for k, (p, _, _) in KINDS.items()))
-    parts = [_spans(k, i, F.col("_t"), F.col(f"_{k}")) for i, k in enumerate(KINDS)]
+    worth = {k: F.lit(True) if k in ("email", "secret") else F.col("_digit") for k in KINDS}
+    found = found.select("_id", "_t", *(F.when(worth[k] & needs.get(k, F.lit(True)), F.regexp_extract_all("_t", F.lit(p), F.lit(0))).otherwise(empty).alias(f"_{k}") for k, (p, _, _) in KINDS.items()))
+    some = lambda k: F.size(f"_{k}") > 0
+    found = found.select("_id", *(f"_{k}" for k in KINDS), *(F.when(some(k), F.slice(F.split("_t", p, -1), F.lit(1), F.size(f"_{k}"))).otherwise(empty).alias(f"_{k}_b") for k, (p, _, _) in KINDS.items()))
+    ends = lambda k: _running_sums(F.zip_with(f"_{k}", f"_{k}_b", lambda m, b: F.length(m) + F.length(b)))
+    found = found.select("_id", *(x for k in KINDS for x in (f"_{k}", f"_{k}_b")), *(F.when(some(k), ends(k)).otherwise(F.array().cast("array<int>")).alias(f"_{k}_e") for k in KINDS))
+    zipped = [F.arrays_zip(F.col(f"_{k}").alias("m"), F.col(f"_{k}_b").alias("b"), F.col(f"_{k}_e").alias("e")) for k in KINDS]
+    parts = [_spans(k, i, z) for i, (k, z) in enumerate(zip(KINDS, zipped))]
     return found.select(F.col("_id").alias(id_col), F.array_sort(F.concat(*parts)).alias("spans"))
 
 
@@ -110,8 +132,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["k"], s["s"].cast("string"), s["e"].cast("string"))), ",")
     counts = [F.size(F.filter(spans, lambda s: s["k"] == k)).cast("long").alias(f"n_{k}") for k in BASE]  # noqa: B023
     base = F.filter(spans, lambda s: s["o"] < len(BASE))
-    sure = F.size(F.filter(spans, lambda s: s["score"] >= 0.8)).cast("long").alias("n_sure")
-    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"), sure)
+    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def _oracle() -> str:
@@ -123,18 +144,19 @@ def _oracle() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": KINDS["iban"][0],
         "ssn": KINDS["ssn"][0],
+        "secret": KINDS["secret"][0],
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = f"length({digits}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse({digits}), k, 1) AS INT) ELSE (2 * CAST(substr(reverse({digits}), k, 1) AS INT)) // 10 + (2 * CAST(substr(reverse({digits}), k, 1) AS INT)) % 10 END)) % 10 = 0"
     mod97 = "list_reduce(list_prepend(0, list_transform(range(1, length(m) + 1), lambda k: ascii(substr(substr(m, 5) || substr(m, 1, 4), k, 1)))), lambda r, c: CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END) = 1"
     ip = "len(list_filter(string_split(m, '.'), lambda o: length(ltrim(o, '0')) > 3 OR CAST('0' || right(o, 3) AS INT) > 255)) = 0"
-    ok = {"ip": ip, "card": luhn, "phone": f"length({digits}) BETWEEN 10 AND 15", "iban": mod97, "email": "true", "ssn": "true"}
+    ok = {"ip": ip, "card": luhn, "phone": f"length({digits}) BETWEEN 10 AND 15", "iban": mod97, "email": "true", "ssn": "true", "secret": "true"}
     each = []
     for o, (k, p) in enumerate(plain.items()):
-        score = f"{KINDS[k][1]} + CASE WHEN regexp_matches(lower(substr(t, greatest(s - {CONTEXT} + 1, 1), least(s, {CONTEXT}))), '{KINDS[k][2]}') THEN 0.4 ELSE 0.0 END"
+        score = f"{KINDS[k][1]} + CASE WHEN regexp_matches(lower(right(b, {CONTEXT})), '{KINDS[k][2]}') THEN 0.4 ELSE 0.0 END"
         more = "" if k in BASE else f" AND {score} >= {REPORT_FROM}"
         each.append(f"""SELECT doc_id, {o} AS o, '{k}' AS k, s, s + length(m) AS e, {score} AS score FROM (
-          SELECT doc_id, t, ms[i] AS m, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+          SELECT doc_id, parts[i] AS b, ms[i] AS m, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
           FROM (SELECT doc_id, t, ms, parts, unnest(range(1, len(ms) + 1)) AS i
                 FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS parts FROM d))
         ) WHERE {ok[k]}{more}""")
@@ -143,9 +165,9 @@ def _oracle() -> str:
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     f AS (SELECT doc_id, o, k, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, score, k || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS w FROM ({union})),
     g AS (SELECT doc_id, count(*) FILTER (k = 'email') AS n_email, count(*) FILTER (k = 'ip') AS n_ip, count(*) FILTER (k = 'card') AS n_card, count(*) FILTER (k = 'phone') AS n_phone,
-      string_agg(w, ',' ORDER BY s, o) FILTER (o < 4) AS b, string_agg(w, ',' ORDER BY s, o) AS a, count(*) FILTER (score >= 0.8) AS n_sure FROM f GROUP BY doc_id)
+      string_agg(w, ',' ORDER BY s, o) FILTER (o < 4) AS b, string_agg(w, ',' ORDER BY s, o) AS a, count(*) AS n_spans FROM f GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-      sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_sure, 0) AS n_sure
+      sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_spans, 0) AS n_spans
     FROM d LEFT JOIN g USING (doc_id)"""
 
 
