@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -73,6 +74,22 @@ def test_pii_spans(spark):
     kinds = Counter(s.k for x in got.values() for s in x)
     assert kinds["iban"] > 0 and kinds["ssn"] > 0
     assert find_pii(docs(spark, EDGE)).count() == len(EDGE)
+    assert find_pii(docs(spark, EDGE).limit(0)).count() == 0
+
+
+def test_pii_secrets(spark):
+    rows = [(1, "x AKIA" + "A1" * 8 + " y"), (2, 'token = "0123abcd0123abcd"'), (3, "the token of the password"), (4, "Password=hunter2hunter2"), (5, "-----BEGIN RSA PRIVATE KEY-----")]
+    got = {x.doc_id: [(s.k, s.s, s.e) for s in x.spans] for x in find_pii(docs(spark, rows)).collect()}
+    assert got == {1: [("secret", 2, 22)], 2: [("secret", 0, 25)], 3: [], 4: [("secret", 0, 23)], 5: [("secret", 0, 31)]}
+
+
+def test_pii_of_many_matches(spark):
+    """Time grows with the matches, not with their square; positions stay right beyond one stretch of running sums."""
+    text = "".join(f"é u{i}@b.cc" for i in range(50_000))
+    start = time.time()
+    (got,) = find_pii(docs(spark, [(1, text)])).collect()
+    assert time.time() - start < 30
+    assert [(s.s, s.e) for s in got.spans if s.o == 0] == [m.span() for m in re.finditer(r"[a-z0-9]+@[a-z]+\.cc", text)]
 
 
 # --- 4
@@ -298,17 +315,51 @@ def test_text_order_does_not_matter(spark):
     assert a[0] == b[1] and a[2] == b[0] and not a[1]
 
 
-def test_toxicity(spark):
+STEMS = ("dunderh", "numbsku", "blockhe")
+
+
+def abusive(r, i, n=60):
+    """Plain words; every fourth text has forms of three stems too, each form with an ending of its own."""
+    syllables = ["ta", "ro", "li", "ne", "shu", "gor", "em", "pa", "vo", "ki"]
+    word = lambda k: "".join(r.choice(syllables) for _ in range(k))
+    return " ".join(r.choice(STEMS) + word(3) if i % 4 == 0 and r.random() < 0.15 else word(r.randint(1, 4)) for _ in range(n))
+
+
+def test_toxicity_of_unseen_words(spark):
     r = random.Random(8)
-    plain = ["the", "house", "river", "stone", "green", "walks", "under", "seven", "letter", "orange"]
-    bad = ["dunderhead", "numbskull", "blockhead"]
-    rows = [(i, " ".join(r.choice(bad) if i % 4 == 0 and r.random() < 0.2 else r.choice(plain) for _ in range(60)), int(i % 4 == 0)) for i in range(1200)]
+    rows = [(i, abusive(r, i), int(i % 4 == 0)) for i in range(1600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(d.where("doc_id < 1200"), d.select("doc_id", "toxic").where("doc_id < 1200"))
+    seen = {w for i, t, _ in rows if i < 1200 for w in t.split()}
+    unseen = [(i, " ".join(w for w in t.split() if w not in seen or not w.startswith(STEMS))) for i, t, _ in rows if i >= 1200]
+    unseen = [(i, t) for i, t in unseen if i % 4 or any(w.startswith(STEMS) for w in t.split())]
+    assert sum(i % 4 == 0 for i, _ in unseen) > 80
+    for part in ([(i, t) for i, t, _ in rows if i >= 1200], unseen):
+        got = {x.doc_id: x for x in toxicity.toxicity(docs(spark, part), m).collect()}
+        assert np.mean([(got[i].score >= 0.3) == (i % 4 == 0) for i, t in part if t]) > 0.95
+    # The counts, window by window
+    plain, both = toxicity.compressor(m.ordinary), toxicity.compressor(m.toxic + m.ordinary)
+    for i, t in part[:40]:
+        w = t.split()
+        at = range(0, max(1, len(w) - 4), 4) if w else []
+        cut = [toxicity.spelled(" " + " ".join(w[p : p + 8]) + " ") for p in at]
+        gain = [len(plain.compress(c)) - len(both.compress(c)) for c in cut]
+        assert (got[i].n_windows, got[i].n_some, got[i].n_sure, got[i].gain) == (len(cut), sum(g >= m.least[0] for g in gain), sum(g >= m.least[1] for g in gain), max([0, *gain]))
+
+
+def test_toxicity_edges(spark):
+    r = random.Random(9)
+    rows = [(i, abusive(r, i), int(i % 4 == 0)) for i in range(800)] + [(5000 + i, "one and the same abusive text " * 20, 1) for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    m = toxicity.fit(d.where("doc_id < 900"), d.select("doc_id", "toxic").where("doc_id < 900"))
-    assert set(bad) <= set(m.toxic)
-    got = toxicity.toxicity(d.where("doc_id >= 900"), m).join(d.select("doc_id", "toxic"), "doc_id").toPandas()
-    assert ((got.score >= 0.3) == (got.toxic == 1)).mean() > 0.97
-    edge = {x.doc_id: x.score for x in toxicity.toxicity(docs(spark, EDGE), m).collect()}
-    assert edge[1] == edge[2] == m.scores[0]
+    labels = d.select("doc_id", "toxic").union(spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int"))
+    m = toxicity.fit(d, labels)
+    got = toxicity.toxicity(docs(spark, EDGE), m).collect()
+    edge = {x.doc_id: x.score for x in got}
+    assert len(got) == len(EDGE) and edge[1] == edge[2] == edge[6] and all(0 <= s <= 1 for s in edge.values())
+    assert m == toxicity.fit(d.repartition(7), labels.repartition(3))
     none = toxicity.fit(d, d.select("doc_id", "toxic").where("toxic = 0"))
     assert {x.score for x in toxicity.toxicity(docs(spark, EDGE), none).collect()} == {0.0}
+    assert toxicity.toxicity(docs(spark, EDGE).limit(0), m).count() == 0
+    few = toxicity.fit(d.limit(20), labels)
+    assert all(0 <= x.score <= 1 for x in toxicity.toxicity(docs(spark, EDGE), few).collect())
+    assert toxicity.fit(d.limit(0), labels).weights == ()
