@@ -46,8 +46,8 @@ class Words:
     Equal words have equal numbers; different ones practically always different numbers.
     """
 
-    def __init__(self, texts: list[str], inside: np.ndarray, fold: np.ndarray | None = None):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str] | list[bytes], inside: np.ndarray, fold: np.ndarray | None = None):
+        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         self.data = data if fold is None else fold[data]
         is_in = inside[self.data]
@@ -105,3 +105,56 @@ def runs(number: np.ndarray, n: int) -> np.ndarray:
         for k in range(n):
             h = h * np.uint64(0x9FB21C651E98DF25) + number[k : len(number) - n + 1 + k]
     return mixed(h)
+
+
+class SuffixAutomaton:
+    """All factors of the word sequences added so far."""
+
+    def __init__(self):
+        self.next: list[dict] = [{}]
+        self.link, self.length = [-1], [0]
+
+    def _state(self, edges: dict, link: int, length: int) -> int:
+        self.next.append(edges)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.next) - 1
+
+    def _split(self, p: int, w, q: int) -> int:
+        """The state for the shorter factors of q that p leads to by w."""
+        new = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1)
+        self.link[q] = new
+        while p >= 0 and self.next[p].get(w) == q:
+            self.next[p][w] = new
+            p = self.link[p]
+        return new
+
+    def add(self, sequence: list) -> None:
+        last = 0
+        for w in sequence:
+            q = self.next[last].get(w, -1)
+            if q >= 0:  # an earlier sequence has it
+                last = q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
+                continue
+            now, p = self._state({}, 0, self.length[last] + 1), last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = now
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][w]
+                self.link[now] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
+            last = now
+
+    def statistics(self, sequence: list) -> list[int]:
+        """For each position, the length of the longest factor that ends there."""
+        out, state, n = [], 0, 0
+        for w in sequence:
+            while state and w not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if w in self.next[state]:
+                state, n = self.next[state][w], n + 1
+            else:
+                n = 0
+            out.append(n)
+        return out
