@@ -4,11 +4,13 @@
 revisits that refer to it. Records are WARC/1.1 in gzip files, written by Spark's own writer into the shared folder (a
 record ends with two line ends, which are the writer's separator), so tasks may be repeated and any file system will do.
 
-*Reading.* Files are read whole and parsed by Content-Length, so payloads may hold anything, WARC headers included.
+*Reading.* Files are read whole and parsed by Content-Length, so payloads may hold anything, WARC headers included. Records
+of one class of sizes share files, as many as `CLASSES` allows, so a file is of bounded size unless one record is larger.
 
-*Index.* Each file is a locally sorted run of captures: by URL key, timestamp and id. The runs of one range of keys are
-merged by a loser tree; ranges follow each other, so the result is one globally ordered history of captures. Ranges are
-cut on key, timestamp and id, so a key with very many captures spreads over several.
+*Index.* Each file is a locally sorted run of captures: by URL key, timestamp and id. The shuffle deals the runs' entries
+into ranges of about `RANGE` entries, cut on key, timestamp and id, so a key with very many captures spreads over several.
+A task merges what the runs have in its range by a loser tree; ranges follow each other, so the result is one globally
+ordered history of captures.
 
 Null html is an empty payload, a null url an empty one. Rows that repeat an id are separate records; a payload's smallest
 id is then a response in each of them. A null id is written as such and orders last. An empty table gives no records.
@@ -22,14 +24,19 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, scratch_path, table
 
 END = "\r\n\r\n"
-#: Records of one archive file at most, as files are read whole.
-FILE_RECORDS = 5_000
+#: Payload bytes of a record below which it shares a file with so many others; files are read whole.
+CLASSES = ((16 << 10, 5_000), (256 << 10, 300), (4 << 20, 20), (1 << 62, 1))
+#: Index entries of one range, which a task holds.
+RANGE = 200_000
+#: Entries of a run that are Python objects at once.
+_LAZY = 500
 _LINE = "\r\n"
 
 
@@ -80,10 +87,23 @@ def _record(c: DataFrame) -> Column:
     return F.concat(F.concat_ws(_LINE, *lines), F.lit(END), block)
 
 
-def write_warc(c: DataFrame, path: str) -> None:
-    """captures() as gzip WARC files at path, each a run sorted by key, timestamp and id."""
-    sized = c.sortWithinPartitions("key", "stamp", "id").select(_record(c).alias("value"))
-    sized.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def size_class(payload_bytes: Column) -> Column:
+    out = F.lit(len(CLASSES) - 1)
+    for k in range(len(CLASSES) - 2, -1, -1):
+        out = F.when(payload_bytes < CLASSES[k][0], k).otherwise(out)
+    return out
+
+
+def size_classes(pages: DataFrame, payload_col: str = "html") -> list[int]:
+    """The classes of sizes that occur."""
+    return sorted(r.k for r in pages.select(size_class(F.octet_length(F.coalesce(F.col(payload_col), F.lit("")))).alias("k")).distinct().collect())
+
+
+def write_warc(c: DataFrame, path: str, classes: list[int] | None = None) -> None:
+    """captures() as gzip WARC files in a folder of path for each class of sizes, each file a run sorted by key, timestamp and id."""
+    for k in range(len(CLASSES)) if classes is None else classes:
+        sized = c.where(size_class(F.col("bytes")) == k).sortWithinPartitions("key", "stamp", "id").select(_record(c).alias("value"))
+        sized.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", CLASSES[k][1]).text(f"{path}/size-{k}")
 
 
 def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -108,7 +128,7 @@ def _page(urn: str) -> int | None:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files at path: file, pos, id, url, stamp, kind, digest, bytes, refers_to, and whether a response's block has its digest."""
-    files = spark.read.format("binaryFile").load(f"{path}/*.gz").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("file"), "content")
     names = ["file", "pos", "id", "url", "stamp", "kind", "digest", "bytes", "refers_to", "sound"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,48 +185,75 @@ class LoserTree:
             self._replay(i)
 
 
-def merged_index(records: DataFrame) -> DataFrame:
-    """All captures in one global order of key, timestamp and id: part (of the order), seq (within it), and the record's place.
+def merged_index(records: DataFrame, *, entries_of_range: int = RANGE) -> DataFrame:
+    """All captures in one global order of key, timestamp and id: key, stamp, id, file, pos and position (0 for the first).
 
-    A task holds the index entries of one range of keys, not the records.
+    records is counted, and read twice: give a written table.
     """
     entries = records.select(url_key(F.col("url")).alias("key"), "stamp", "id", "file", "pos")
-    ranged = entries.repartitionByRange(F.col("key"), F.col("stamp"), F.col("id"))
-    sorted_runs = ranged.sortWithinPartitions("file", "key", "stamp", F.col("id").asc_nulls_last())
+    n = max(1, -(-entries.count() // entries_of_range))
+    ranged = entries.repartitionByRange(n, F.col("key"), F.col("stamp"), F.col("id").asc_nulls_last())
+    sorted_runs = ranged.sortWithinPartitions("file", "key", "stamp", F.col("id").asc_nulls_last(), "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        runs: dict[str, list[tuple]] = {}
+        runs: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for key, stamp, id_, file, pos in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(file, []).append((key, stamp, id_ is None, id_ or 0, file, pos))
-        part, out = TaskContext.get().partitionId(), []
-        for n, (key, stamp, none, id_, file, pos) in enumerate(LoserTree([iter(r) for r in runs.values()])):
-            out.append((part, n, key, stamp, None if none else id_, file, pos))
-        if out:
-            cols = [list(x) for x in zip(*out)]
+            files = batch.column(3)
+            at = 0
+            while at < batch.num_rows:  # files follow each other
+                name = files[at].as_py()
+                size = int(pc.sum(pc.cast(pc.equal(files.slice(at), name), pa.int64())).as_py())
+                runs.setdefault(name, []).append(batch.slice(at, size))
+                at += size
+        part, seq = TaskContext.get().partitionId(), 0
+
+        def entries_of(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+            for p in parts:
+                for a in range(0, p.num_rows, _LAZY):
+                    for key, stamp, id_, file, pos in zip(*(c.to_pylist() for c in p.slice(a, _LAZY).columns)):
+                        yield key, stamp, id_ is None, id_ or 0, file, pos
+
+        def written(out: list[tuple]) -> pa.RecordBatch:
             types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "seq", "key", "stamp", "id", "file", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "seq", "key", "stamp", "id", "file", "pos"])
+
+        out = []
+        for key, stamp, none, id_, file, pos in LoserTree([entries_of(r) for r in runs.values()]):
+            out.append((part, seq, key, stamp, None if none else id_, file, pos))
+            seq += 1
+            if len(out) == _LAZY * 8:
+                yield written(out)
+                out = []
+        if out:
+            yield written(out)
 
-    return sorted_runs.mapInArrow(run, "part int, seq bigint, key string, stamp string, id bigint, file string, pos bigint")
+    schema = "part int, seq bigint, key string, stamp string, id bigint, file string, pos bigint"
+    merged = materialize(sorted_runs.mapInArrow(run, schema), "history")
+    # One row a range: where its entries begin.
+    before = merged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    return merged.join(F.broadcast(before), "part").select("key", "stamp", "id", "file", "pos", (F.col("before") + F.col("seq")).alias("position"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
-    write_warc(captures(table(spark, sf_dir, "pages")), path)
+    path, pages = scratch_path(spark, "warc"), table(spark, sf_dir, "pages")
+    write_warc(captures(pages), path, size_classes(pages))
     records = materialize(read_warc(spark, path), "records")
-    history = merged_index(records).select("part", "seq", "file", "pos")
+    history = merged_index(records).select("file", "pos", F.col("key").alias("url_key"), "position")
     return records.join(history, ["file", "pos"]).select(
-        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "sound"
-    )
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "sound", "url_key", "stamp", "position"
+    )
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-x AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS f FROM p),
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, regexp_replace(lower(regexp_replace(coalesce(url, ''), '[\\x00-\\x20\\x7F]', '%20', 'g')), '^[a-z]+://(www\\.)?', '') AS u FROM pages),
+x AS (SELECT page_id, u, strlen(h) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS f FROM p),
 d AS (SELECT *, list_reduce([''] || list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-  1 + CAST((CAST('0x' || substr(s, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INT), 1)), lambda a, b: a || b) AS b FROM x)
+  1 + CAST((CAST('0x' || substr(s, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INT), 1)), lambda a, b: a || b) AS b,
+  array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(u, '^[^/?#]*'), ':[0-9]+$', ''), '.')), ',') || ')'
+    || CASE regexp_extract(u, '^[^/?#]*([^#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(u, '^[^/?#]*([^#]*)', 1) END AS url_key,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM x)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN f <> page_id THEN f END AS refers_to, true AS sound FROM d
+  CASE WHEN f <> page_id THEN f END AS refers_to, true AS sound, url_key, stamp, row_number() OVER (ORDER BY url_key, stamp, page_id) - 1 AS position FROM d
 """
