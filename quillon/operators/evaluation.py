@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.inference import counted_ranks
+from quillon.operators.ranges import numbered, running_total, settled
 
 
 def auc_brier(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -35,20 +36,31 @@ def macro_scores(df: DataFrame, y: str, p: str) -> DataFrame:
 def concordance(df: DataFrame, time: str, event: str, risk: str, by: str) -> DataFrame:
     """Share of comparable pairs within strata whose risks are ordered as their times are.
 
-    Pairs are counted, not made: within a stratum rows are summed by distinct (time, event, risk) first.
+    Pairs are counted, never made. Distinct times of a stratum are numbered; two times differ first at one bit of their
+    numbers, so every pair is counted once, at that bit: among rows that agree in the bits above it, those with a 0 there
+    are earlier than those with a 1, and running counts over risks tell how many of them have a higher one.
     """
     x = df.groupBy(by, F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("r")).agg(F.count("*").alias("n"))
-    a, b = x.where("e = 1").alias("a"), x.alias("b")
-    pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.t") < F.col("b.t")))
-    n = F.col("a.n") * F.col("b.n")
-    good = F.when(F.col("a.r") > F.col("b.r"), 1.0).when(F.col("a.r") == F.col("b.r"), 0.5).otherwise(0.0)
-    return pairs.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_pairs"), F.round(F.try_divide(F.sum(n * good), F.sum(n)), 6).alias("c_index"))
+    times = settled(numbered(x.select(by, "t").where("t is not null").distinct(), ["t"], "k", by=[by]))
+    bits = max(1, int(times.agg(F.max("k")).first()[0] or 1).bit_length())
+    x = x.join(times, [by, "t"]).where("r is not null").withColumn("k", F.col("k") - 1)
+    each = x.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    late = F.expr("shiftright(k, level) & 1")
+    each = each.select(by, "level", F.expr("shiftright(k, level + 1)").alias("above"), "r", F.when((late == 0) & (F.col("e") == 1), F.col("n")).otherwise(0).alias("early"), F.when(late == 1, F.col("n")).otherwise(0).alias("late"))
+    group = [by, "level", "above"]
+    sums = each.groupBy(*group, "r").agg(F.sum("early").alias("early"), F.sum("late").alias("late"))
+    up = running_total(sums, group, ["r"], "early", "up")
+    total = up.groupBy(*group).agg(F.sum("early").alias("whole")).where("whole > 0")
+    met = up.where("late > 0").join(total, group)
+    good = (F.col("whole") - F.col("up") + F.col("early") / 2) * F.col("late")
+    n = F.col("whole") * F.col("late")
+    return met.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_pairs"), F.round(F.try_divide(F.sum(good), F.sum(n)), 6).alias("c_index"))
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int) -> DataFrame:
     """Adds fold: rows of each label in the order of a hash of the id, dealt out in turn."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(id_col).cast("string")), id_col)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    rows = df.withColumn("_h", F.md5(F.col(id_col).cast("string")))
+    return numbered(rows, ["_h", id_col], "fold", by=[label]).withColumn("fold", ((F.col("fold") - 1) % k).cast("int")).drop("_h")
 
 
 def k_anonymity(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,16 +85,16 @@ def with_lcs(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adds lcs (longest common subsequence of two word arrays) and rouge_l (its F1)."""
 
     def length(x, y) -> int:
-        if len(x) < len(y):
-            x, y = y, x
-        row = [0] * (len(y) + 1)
-        for u in x:
-            last = 0
-            for j, v in enumerate(y, 1):
-                keep = row[j]
-                row[j] = last + 1 if u == v else max(row[j], row[j - 1])
-                last = keep
-        return row[-1]
+        """A row of the table is the bits of one integer: a zero for each column where the length grows."""
+        at: dict = {}
+        for i, u in enumerate(x):
+            at[u] = at.get(u, 0) | 1 << i
+        every = (1 << len(x)) - 1
+        row = every
+        for v in y:
+            same = row & at.get(v, 0)
+            row = ((row + same) | (row - same)) & every
+        return len(x) - row.bit_count()
 
     @F.pandas_udf("int")
     def lcs(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

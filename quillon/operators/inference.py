@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.numeric import binomial_tail, hash_uniform, poisson_weight
 from quillon.operators.confusion import outcome_flags
+from quillon.operators.ranges import running_total, settled
 
 METRICS = ("accuracy", "sensitivity", "specificity", "ppv", "npv", "fabrication")
 
@@ -52,8 +55,7 @@ def counted_ranks(rows: DataFrame, value: str, by: list[str], side: Column) -> D
     Ranks come from a running count over distinct values, so a value that very many rows share is one row here.
     """
     v = rows.groupBy(*by, value).agg(F.count("*").alias("t"), F.count_if(side).alias("k"))
-    below = F.sum("t").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return v.withColumn("r", F.coalesce(below, F.lit(0)) + (F.col("t") + 1) / 2)
+    return running_total(v, by, [value], "t", "_up").withColumn("r", F.col("_up") - F.col("t") + (F.col("t") + 1) / 2).drop("_up")
 
 
 def mann_whitney(rows: DataFrame, value: str, side: Column, by: list[str]) -> DataFrame:
@@ -76,13 +78,31 @@ def wilcoxon(rows: DataFrame, diff: str, by: list[str]) -> DataFrame:
     return g.select(*by, "n", F.round("w", 6).alias("w_plus"), F.round((F.col("w") - n * (n + 1) / 4) / F.sqrt(var), 6).alias("z"))
 
 
+#: Cases of one pattern up to which their weights are drawn one by one.
+ONE_BY_ONE = 12
+
+
 def bootstrap_counts(long: DataFrame, case: str, by: list[str], reps: int, seed: int) -> DataFrame:
     """Confusion counts of `reps` resamples of cases: (b, *by, tp, fp, fn, tn).
 
-    A case has a Poisson(1) weight in each resample, drawn from a hash of seed, resample and case. Rows are first summed
-    by case; the replicates are made where those sums lie and summed again before anything is shuffled.
+    Every case has a Poisson(1) weight in each resample, the same for all groups of `by`. Cases with equal counts in all
+    groups are one pattern, and the sum of n such weights is Poisson(n): drawn one by one up to ONE_BY_ONE, beyond it by the
+    normal quantile with its first correction for skew. So the work grows with patterns and resamples, not with cases.
     """
     flags = outcome_flags(F.col("source"), F.col("code"))
     per = long.groupBy(case, *by).agg(*(F.count_if(c).alias(k) for k, c in flags.items()))
-    each = per.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(hash_uniform(F.lit(seed), F.col("b"), F.col(case))))
-    return each.where("w > 0").groupBy("b", *by).agg(*(F.sum(F.col(k) * F.col("w")).alias(k) for k in flags))
+    named = F.concat_ws(":", *(F.col(c).cast("string") for c in (*by, *flags)))
+    whole = per.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(named.alias("k"), *by, *flags))).alias("g"))
+    patterns = whole.groupBy(F.array_join(F.transform("g", lambda x: x["k"]), ";").alias("pattern")).agg(F.count("*").alias("n"), F.first("g").alias("g"))
+    # Few rows become very many: they are dealt out to all cores, whatever their own size.
+    cores = long.sparkSession.sparkContext.defaultParallelism
+    each = settled(patterns).repartition(max(8, cores)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    draw = lambda j: hash_uniform(F.lit(seed), F.col("b"), F.col("pattern"), j)
+    few = each.where(F.col("n") <= ONE_BY_ONE).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    few = few.withColumn("u", draw(F.col("j"))).select("b", "g", poisson_weight(F.col("u")).cast("long").alias("w"))
+    many = each.where(F.col("n") > ONE_BY_ONE).withColumns({c: (draw(F.lit(j)) + 0.5) / 4294967296.0 for c, j in (("u", -1), ("v", -2))})
+    many = many.withColumn("z", F.sqrt(-2 * F.ln("u")) * F.cos(2 * math.pi * F.col("v")))
+    many = many.select("b", "g", F.greatest(F.round(F.col("n") + F.sqrt("n") * F.col("z") + (F.col("z") * F.col("z") - 1) / 6).cast("long"), F.lit(0)).alias("w"))
+    weighed = few.unionByName(many).where("w > 0")
+    parts = weighed.select("b", "w", F.explode("g").alias("x")).select("b", "w", *(F.col(f"x.{c}").alias(c) for c in (*by, *flags)))
+    return parts.groupBy("b", *by).agg(*(F.sum(F.col(k) * F.col("w")).alias(k) for k in flags))

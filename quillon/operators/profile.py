@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.ranges import quantiles
+
 
 def per_column(df: DataFrame, columns: list[str], stats) -> DataFrame:
     """One row for each column: its name and what stats(name) -> {label: aggregate} says. A single aggregation."""
@@ -28,14 +30,14 @@ def missing_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, extremes and exact quartiles (linear interpolation)."""
+    r = lambda v: F.round(v, 6)
 
     def stats(c: str) -> dict[str, Column]:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        r = lambda v: F.round(v, 6)
-        return {"n": F.count(x), "mean": r(F.avg(x)), "std": r(F.stddev_samp(x)), "min": r(F.min(x)), "q25": r(q[0]), "q50": r(q[1]), "q75": r(q[2]), "max": r(F.max(x))}
+        return {"n": F.count(x), "mean": r(F.avg(x)), "std": r(F.stddev_samp(x)), "min": r(F.min(x)), "max": r(F.max(x))}
 
-    return per_column(df, columns, stats)
+    q = quantiles(df, columns, [0.25, 0.5, 0.75]).select("column_name", r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("q50"), r(F.col("q")[2]).alias("q75"))
+    return per_column(df, columns, stats).join(F.broadcast(q), "column_name", "left")  # a row for each column
 
 
 def value_counts(df: DataFrame, column: str, dropna: bool = False) -> DataFrame:
@@ -55,8 +57,8 @@ def describe_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def iqr_fences(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """One row: lo and hi."""
-    q = F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-    return df.agg(q.alias("q")).select((F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("hi"))
+    found = quantiles(df, [column], [0.25, 0.75])
+    return found.select((F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("hi"))
 
 
 def outlier_share(df: DataFrame, column: str) -> DataFrame:
@@ -81,8 +83,10 @@ def cut(x: Column, edges: list[float], labels: list[str]) -> Column:
 
 def impute(df: DataFrame, column: str, by: list[str], how: str = "mean") -> DataFrame:
     """NULLs of column filled with the group's mean or median; a group without values stays NULL. Adds `filled`."""
-    stat = {"mean": F.avg, "median": F.median}[how]
-    fill = df.groupBy(*by).agg(stat(column).alias("_fill"))
+    if how == "median":
+        fill = quantiles(df, [column], [0.5], by).select(*by, F.col("q")[0].alias("_fill"))
+    else:
+        fill = df.groupBy(*by).agg(F.avg(column).alias("_fill"))
     return df.join(fill, by, "left").withColumn("filled", F.coalesce(column, "_fill")).drop("_fill")
 
 
@@ -98,9 +102,9 @@ def table_one(df: DataFrame, group: str, numeric: list[str], categorical: list[s
     both = df.select(*numeric, *categorical, F.explode(F.array(F.col(group), F.lit("Total"))).alias("grp"))
     fmt = lambda c: F.format_string("%.4f", c)
     parts = []
-    q = {c: F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in numeric}
-    num = both.groupBy("grp").agg(*(F.struct(F.lit(c).alias("variable"), F.count(c).alias("n"), q[c].alias("q")).alias(c) for c in numeric))
-    num = num.select("grp", F.explode(F.array(*numeric)).alias("x")).select(F.col("x.variable").alias("variable"), F.lit("").alias("level"), "grp", F.col("x.n").alias("n"), F.concat(fmt(F.col("x.q")[1]), F.lit(" ("), fmt(F.col("x.q")[0]), F.lit(", "), fmt(F.col("x.q")[2]), F.lit(")")).alias("value"))
+    num = quantiles(both, numeric, [0.25, 0.5, 0.75], ["grp"])
+    value = F.concat(fmt(F.col("q")[1]), F.lit(" ("), fmt(F.col("q")[0]), F.lit(", "), fmt(F.col("q")[2]), F.lit(")"))
+    num = num.select(F.col("column_name").alias("variable"), F.lit("").alias("level"), "grp", "n", value.alias("value"))
     parts.append(num)
     long = both.select("grp", F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in categorical))).alias("x")).select("grp", "x.*").where("level is not null")
     k = long.groupBy("variable", "level", "grp").agg(F.count("*").alias("n"))

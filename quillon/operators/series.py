@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ranges import numbered
+
 
 def iterations(df: DataFrame, by: str, order: list[str], name: str = "iteration") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    """Adds 0, 1, ... in the order of `order`, which must tell a group's rows apart; a group may be of any size."""
+    return numbered(df, order, name, by=[by]).withColumn(name, F.col(name) - 1)
 
 
 def linear_trend(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

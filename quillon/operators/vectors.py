@@ -64,5 +64,5 @@ def set_scores(found: Column, truth: Column) -> dict[str, Column]:
     both = F.size(F.array_intersect(found, truth))
     p = F.coalesce(F.try_divide(both.cast("double"), F.size(found)), F.lit(0.0))
     r = F.coalesce(F.try_divide(both.cast("double"), F.size(truth)), F.lit(0.0))
-    f = F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r).otherwise(1.0)).otherwise(0.0)
+    f = F.coalesce(F.try_divide(2.0 * both, F.size(found) + F.size(truth)), F.lit(0.0))
     return {"precision": p, "recall": r, "f1": f}

@@ -137,10 +137,27 @@ def wilcoxon_signed(spark, sf_dir):
     return I.wilcoxon(x, "d", [])
 
 
-REPS, SEED = 20, 42
-_U = f"CAST('0x' || substr(md5('{SEED}:' || b || ':' || case_id), 1, 8) AS BIGINT)"
-BOOT = f"""{W}, per AS (SELECT case_id, annotator, {counts_sql()} FROM ann GROUP BY ALL), boot AS (SELECT b, annotator, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn, sum(tn * w) AS tn
-  FROM (SELECT *, {poisson_weight_sql(_U)} AS w FROM per, (SELECT unnest(range(1, {REPS + 1})) AS b)) WHERE w > 0 GROUP BY ALL)"""
+#: Resamples: of metrics and differences, and of the test for fabrication.
+REPS, FAB_REPS, SEED = 2000, 5000, 42
+
+
+def _boot_sql(rows: str, by: tuple[str, ...], counts: tuple[str, ...], reps: int) -> str:
+    """bootstrap_counts() in SQL: replicates of patterns of equal counts."""
+    u = lambda j: f"CAST('0x' || substr(md5('{SEED}:' || b || ':' || pattern || ':' || {j}), 1, 8) AS BIGINT)"
+    key = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in (*by, *COUNTS))
+    few = f"CAST(list_sum(list_transform(range(1, least(n, {I.ONE_BY_ONE}) + 1), lambda j: {poisson_weight_sql(u('j'))})) AS BIGINT)"
+    z = f"(sqrt(-2 * ln(({u(-1)} + 0.5) / 4294967296.0)) * cos(2 * pi() * (({u(-2)} + 0.5) / 4294967296.0)))"
+    sums = ", ".join(f"sum({c} * w) AS {c}" for c in COUNTS)
+    return f"""per AS (SELECT case_id, {", ".join(by)}, {", ".join(counts)} FROM {rows} GROUP BY ALL),
+  whole AS (SELECT case_id, string_agg({key}, ';' ORDER BY {key}) AS pattern, min(case_id) AS c FROM per GROUP BY case_id),
+  pats AS (SELECT pattern, count(*) AS n, min(c) AS c FROM whole GROUP BY pattern),
+  drawn AS (SELECT pattern, b, c, CASE WHEN n <= {I.ONE_BY_ONE} THEN {few} ELSE CAST(greatest(round(n + sqrt(n) * {z} + ({z} * {z} - 1) / 6), 0) AS BIGINT) END AS w FROM pats, (SELECT unnest(range(1, {reps + 1})) AS b)),
+  boot AS (SELECT b, {", ".join(by)}, {sums} FROM drawn JOIN per ON per.case_id = drawn.c WHERE w > 0 GROUP BY b, {", ".join(by)})"""
+
+
+_ALL = (counts_sql(),)
+BOOT = f"{W}, {_boot_sql('ann', ('annotator',), _ALL, REPS)}"
+FAB_BOOT = f"{W}, {_boot_sql('ann', ('annotator',), _ALL, FAB_REPS)}"
 _MS = {"accuracy": "(tp + tn) / nullif(tp + fp + fn + tn, 0)", "sensitivity": "tp / nullif(tp + fn, 0)", "specificity": "tn / nullif(tn + fp, 0)", "fabrication_rate": "coalesce(fp / nullif(tp + fp, 0), 0.0)"}
 
 
@@ -163,16 +180,15 @@ def bootstrap_f1_diff(spark, sf_dir):
     return d.agg(F.round(F.avg("d"), 6).alias("mean_diff"), F.round(F.percentile("d", 0.025), 6).alias("lo"), F.round(F.percentile("d", 0.975), 6).alias("hi"), F.round(F.avg((F.col("d") < 0).cast("double")), 6).alias("p_below"))
 
 
-@query("bootstrap_fab_pvalue", f"{BOOT}, p AS (SELECT b, max({_MS['fabrication_rate']}) FILTER (annotator = 'human') - max({_MS['fabrication_rate']}) FILTER (annotator = 'ai') AS d FROM boot GROUP BY b) SELECT count(*) AS reps, round((count(*) FILTER (d <= 0) + 1) / (count(*) + 1), 6) AS p FROM p")
+@query("bootstrap_fab_pvalue", f"{FAB_BOOT}, p AS (SELECT b, max({_MS['fabrication_rate']}) FILTER (annotator = 'human') - max({_MS['fabrication_rate']}) FILTER (annotator = 'ai') AS d FROM boot GROUP BY b) SELECT count(*) AS reps, round((count(*) FILTER (d <= 0) + 1) / (count(*) + 1), 6) AS p FROM p")
 def bootstrap_fab_pvalue(spark, sf_dir):
-    b = I.bootstrap_counts(long(spark, sf_dir), "case_id", ["annotator"], REPS, SEED)
+    b = I.bootstrap_counts(long(spark, sf_dir), "case_id", ["annotator"], FAB_REPS, SEED)
     fab = metric_columns(digits=None)["fabrication_rate"]
     d = b.groupBy("b").agg((F.max(F.when(F.col("annotator") == "human", fab)) - F.max(F.when(F.col("annotator") == "ai", fab))).alias("d"))
     return d.agg(F.count("*").alias("reps"), F.round((F.count_if(F.col("d") <= 0) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 
-@query("bootstrap_domain", f"""{W}, per AS (SELECT case_id, domain, annotator, {counts_sql()} FROM ann JOIN bridge USING (element) GROUP BY ALL), boot AS (SELECT b, domain, annotator, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn, sum(tn * w) AS tn
-  FROM (SELECT *, {poisson_weight_sql(_U)} AS w FROM per, (SELECT unnest(range(1, {REPS + 1})) AS b)) WHERE w > 0 GROUP BY ALL)
+@query("bootstrap_domain", f"""{W}, {_boot_sql('ann JOIN bridge USING (element)', ('domain', 'annotator'), _ALL, REPS)}
 SELECT domain, annotator, round(quantile_cont({_MS['accuracy']}, 0.025), 6) AS lo, round(quantile_cont({_MS['accuracy']}, 0.975), 6) AS hi FROM boot GROUP BY ALL""")
 def bootstrap_domain(spark, sf_dir):
     rows = long(spark, sf_dir).join(F.broadcast(domain_bridge(spark)), "element")

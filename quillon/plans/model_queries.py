@@ -9,6 +9,7 @@ from quillon.functions.text import basic_features
 from quillon.operators import models as M
 from quillon.operators.evaluation import stratified_folds
 from quillon.operators.clusters import density_clusters
+from quillon.operators.ranges import settled
 from quillon.plans.register import query
 from quillon.plans.text_queries import docs
 from quillon.sources.tables import table
@@ -19,7 +20,7 @@ FEATURES = ["n_chars", "n_words", "n_sentences", "avg_word_len", "lexical_divers
 def labelled(spark, sf_dir) -> DataFrame:
     f = basic_features(F.col("text"))
     d = docs(spark, sf_dir).select("doc_id", *(f[k].cast("double").alias(k) for k in FEATURES))
-    return stratified_folds(d.join(table(spark, sf_dir, "labels"), "doc_id"), "doc_id", "quality", 3).select("doc_id", "quality", "fold", *FEATURES).persist()
+    return settled(stratified_folds(d.join(table(spark, sf_dir, "labels"), "doc_id"), "doc_id", "quality", 3).select("doc_id", "quality", "fold", *FEATURES))
 
 
 def _cv(kind):

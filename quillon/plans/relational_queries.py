@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import relational as R
+from quillon.operators.ranges import numbered
 from quillon.plans.register import query
 from quillon.sources.tables import table
 
@@ -87,7 +88,7 @@ def dedupe_keep_first(spark, sf_dir):
 @query("surrogate_ids", "WITH f AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1) SELECT o_custkey, 'P' || lpad(CAST(row_number() OVER (ORDER BY first, o_custkey) AS VARCHAR), 6, '0') AS surrogate FROM f")
 def surrogate_ids(spark, sf_dir):
     first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
-    return R.numbered(first, ["first", "o_custkey"], "k").select("o_custkey", F.concat(F.lit("P"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("surrogate"))
+    return numbered(first, ["first", "o_custkey"], "k").select("o_custkey", F.concat(F.lit("P"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("surrogate"))
 
 
 @query("melt_long", "SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
