@@ -22,6 +22,19 @@ def auc_brier(df: DataFrame, y: str, p: str) -> DataFrame:
     return area.join(F.broadcast(rest)).select(F.round(auc, 6).alias("auc"), F.round("b", 6).alias("brier"), F.round("a", 6).alias("accuracy"))  # one row each
 
 
+def multiclass_auc(df: DataFrame, klass: str, y: str, p: str) -> DataFrame:
+    """Areas of each class against the rest, of all decisions together (micro), and the classes' mean (macro).
+
+    df: a row for each case and class, y telling whether the case is of the class.
+    """
+    both = df.select(F.explode(F.array(F.col(klass), F.lit("micro"))).alias("class"), F.col(y).alias("y"), F.col(p).alias("p"))
+    v = counted_ranks(both, "p", ["class"], F.col("y") == 1)
+    g = v.groupBy("class").agg(F.sum(F.col("r") * F.col("k")).alias("w"), F.sum("k").alias("n1"), F.sum(F.col("t") - F.col("k")).alias("n0"))
+    g = g.select("class", F.try_divide(F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1").cast("double") * F.col("n0")).alias("auc"))
+    macro = g.where("class <> 'micro'").agg(F.lit("macro").alias("class"), F.avg("auc").alias("auc"))
+    return g.unionByName(macro).select("class", F.round("auc", 6).alias("auc"))
+
+
 def macro_scores(df: DataFrame, y: str, p: str) -> DataFrame:
     """Means over classes of precision, recall and F1; 0 where undefined. From the confusion table."""
     t = df.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count("*").alias("n"))

@@ -26,3 +26,17 @@ def propagate(nodes: DataFrame, own: str, depth: int = 3) -> DataFrame:
         up = state.where(F.col("layer") == layer - 1).select(F.col("child").alias("parent"), F.col("open").alias("_up"))
         state = state.join(up, "parent", "left").withColumn("open", F.when(F.col("layer") == layer, F.col(own) & F.coalesce("_up", F.lit(False))).otherwise(F.col("open"))).drop("_up")
     return state
+
+
+def gated(said: DataFrame, leaf: DataFrame, group: str, value: str, gate: str) -> DataFrame:
+    """For each group and leaf: what one pass finds, what is found behind the parent's gate, and whether that is open.
+
+    said: rows (group, value, gate); leaf: (child, parent), an ontology of bounded size. Missing values are "not stated".
+    """
+    hits = said.groupBy(group, F.col(value).alias("child")).agg(F.count("*").alias("hits"))
+    gates = said.groupBy(group, F.col(gate).alias("parent")).agg(F.count("*").alias("gate"))
+    every = leaf.agg(F.collect_list(F.struct("child", "parent")).alias("l"))  # one row
+    grid = said.select(group).distinct().join(F.broadcast(every)).select(group, F.explode("l").alias("x")).select(group, "x.*")
+    x = grid.join(hits, [group, "child"], "left").join(gates, [group, "parent"], "left")
+    text = F.col("hits").cast("string")
+    return x.select(group, F.col("child").alias("element"), F.coalesce(text, F.lit("not stated")).alias("one_pass"), F.when(F.col("gate") > 0, text).alias("gated"), (F.coalesce("gate", F.lit(0)) > 0).alias("open")).fillna("not stated", ["gated"])

@@ -24,6 +24,17 @@ def linear_trend(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return g.select(by, "n", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")), F.round(err, 6).alias("stderr"), direction.alias("direction"))
 
 
+def trend_test(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """t of each group's slope and its two-sided p-value."""
+    from quillon.operators.reports import two_sided_p
+
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    g = df.groupBy(by).agg(F.count(b).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_r2(b, a).alias("r2"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy"))
+    err = F.sqrt(F.try_divide(F.col("syy") * (1 - F.col("r2")), (F.col("n") - 2) * F.col("sxx")))
+    t = g.select(by, "n", F.try_divide(F.col("slope"), err).alias("t"))
+    return t.select(by, "n", F.round("t", 6).alias("t"), F.round(two_sided_p(F.col("t"), F.col("n") - 2), 6).alias("p"))
+
+
 def cusum(df: DataFrame, by: str, order: str, y: str) -> DataFrame:
     """The place where the running sum of deviations from the mean is farthest from 0; means before and after it."""
     w = Window.partitionBy(by)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import word_tokens
 
 
+#: Directions along which similar_pairs() cuts.
+_AXES = 4
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -66,3 +73,73 @@ def set_scores(found: Column, truth: Column) -> dict[str, Column]:
     r = F.coalesce(F.try_divide(both.cast("double"), F.size(truth)), F.lit(0.0))
     f = F.coalesce(F.try_divide(2.0 * both, F.size(found) + F.size(truth)), F.lit(0.0))
     return {"precision": p, "recall": r, "f1": f}
+
+
+# Words without a meaning of their own.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with",
+)
+# End of fixed values.
+
+
+def hashed_terms(docs: DataFrame, id_col: str, bits: int = 18, text_col: str = "text") -> DataFrame:
+    """Sparse entries (id, slot, value) of signed hashed term counts, each document of unit length; zeros have no entry."""
+    h = F.md5(F.col("term"))
+    slot = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % (1 << bits)
+    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") >= 8, -1).otherwise(1)
+    v = term_counts(docs, id_col, text_col).groupBy(id_col, slot.alias("slot")).agg(F.sum(F.col("tf") * sign).cast("double").alias("v")).where("v <> 0")
+    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(id_col)))
+    return v.select(id_col, "slot", (F.col("v") / length).alias("value"))
+
+
+def vocabulary(docs: DataFrame, id_col: str, most: int, least_docs: int, text_col: str = "text") -> DataFrame:
+    """Terms of one or two words without stop words: n, df and smooth idf of the `most` frequent that `least_docs` documents have."""
+    t = docs.select(id_col, F.filter(word_tokens(F.col(text_col)), lambda x: ~x.isin(*STOP_WORDS)).alias("t"))
+    two = F.when(F.size("t") > 1, F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    each = t.select(id_col, F.explode(F.concat(F.col("t"), two)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("k"))
+    f = each.groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("df")).where(F.col("df") >= least_docs)
+    n = docs.agg(F.count("*").alias("n_docs"))  # one row
+    top = f.orderBy(F.desc("n"), "term").limit(most)
+    return top.join(F.broadcast(n)).select("term", "n", "df", F.round(F.ln((1.0 + F.col("n_docs")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
+
+
+def similar_pairs(vectors: DataFrame, least: float, label: str, digits: int = 6) -> DataFrame:
+    """All pairs a < b of different labels with a cosine of `least` or more: (a, b, sim). Exact.
+
+    Unit vectors of a cosine c are sqrt(2 - 2c) apart, and so, at most, are their projections on any direction. Vectors are
+    cut into cells of that width along `_AXES` fixed random directions; a pair lies in the same or in neighbouring cells on
+    every axis, so one side is sent to the neighbours too and pairs meet in an equi-join on cells. Equal vectors are one.
+    """
+    unit = vectors.select("vec_id", label, doubles(F.col("embedding")).alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
+    unit = unit.select("vec_id", label, F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    far = math.sqrt(2 - 2 * least) * (1 + 1e-9)
+    size = unit.select(F.max(F.size("v"))).first()[0] or 0
+    axes = np.linalg.qr(np.random.default_rng(3).normal(size=(max(size, _AXES), _AXES)))[0].T[:, :size].tolist()
+    cells = [F.floor(dot(F.col("v"), F.array(*map(F.lit, a))) / far).cast("int") for a in axes]
+    celled = unit.select("vec_id", label, "v", F.array(*cells).alias("c"))
+    around = celled
+    for k in range(_AXES):
+        near = F.array(*(F.array(*(F.col("c")[i] + (d if i == k else 0) for i in range(_AXES))) for d in (-1, 0, 1)))
+        around = around.withColumn("c", F.explode(near))
+    a = celled.select(F.col("vec_id").alias("a"), F.col(label).alias("_la"), F.col("v").alias("_va"), "c")
+    b = around.select(F.col("vec_id").alias("b"), F.col(label).alias("_lb"), F.col("v").alias("_vb"), "c")
+    sim = dot(F.col("_va"), F.col("_vb"))
+    met = a.join(b, "c").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")))
+    return met.select("a", "b", sim.alias("sim")).where(F.col("sim") >= least).withColumn("sim", F.round("sim", digits))
+
+
+def bleu(found: Column, truth: Column, most: int) -> Column:
+    """Geometric mean of clipped n-gram precisions (n up to `most`, each smoothed by one) times the brevity penalty."""
+
+    def every(t: Column, n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    logs = F.lit(0.0)
+    for n in range(1, most + 1):
+        g, h = every(found, n), every(truth, n)
+        count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+        hits = F.aggregate(F.array_distinct(g), F.lit(0), lambda s, x: s + F.least(count(g, x), count(h, x)))  # noqa: B023
+        logs = logs + F.ln((1 + hits) / (1.0 + F.size(g)))
+    short = F.when(F.size(found) < F.size(truth), F.exp(1 - F.size(truth) / F.size(found))).otherwise(1.0)
+    return short * F.exp(logs / most)

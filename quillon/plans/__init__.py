@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("annotation_queries", "inference_queries", "profile_queries", "text_queries", "relational_queries", "analytics_queries", "model_queries")
+MODULES = ("annotation_queries", "inference_queries", "profile_queries", "text_queries", "relational_queries", "analytics_queries", "model_queries", "report_queries")
 
 
 def _load():

@@ -29,14 +29,14 @@ def tfidf_top_terms(spark, sf_dir):
     return w.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))).where("place <= 3").select("doc_id", "term", "weight", "place")
 
 
-@query("hashing_tf")
-def hashing_tf(spark, sf_dir):
-    """Hashed term frequencies as sparse vectors: number of entries and their sum for each document."""
-    from pyspark.ml.feature import HashingTF
+_H = "CAST('0x' || substr(md5(term), 1, 8) AS BIGINT)"
+
 
-    t = docs(spark, sf_dir).select("doc_id", word_tokens(F.col("text")).alias("tokens"))
-    v = HashingTF(inputCol="tokens", outputCol="v", numFeatures=1 << 18).transform(t).select("doc_id", F.unwrap_udt("v")["values"].alias("v"))
-    return v.select("doc_id", F.size("v").alias("n_entries"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+@query("hashing_tf", f"{TF}, h AS (SELECT doc_id, {_H} % 262144 AS slot, CAST(sum(CASE WHEN CAST('0x' || substr(md5(term), 9, 1) AS INT) >= 8 THEN -tf ELSE tf END) AS DOUBLE) AS v FROM tf GROUP BY ALL), n AS (SELECT doc_id, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM h WHERE v <> 0) SELECT doc_id, count(*) AS n_entries, round(max(v), 6) AS largest, round(min(v), 6) AS smallest FROM n GROUP BY doc_id")
+def hashing_tf(spark, sf_dir):
+    """Signed hashed term frequencies of unit length, as sparse entries: their number and extremes for each document."""
+    v = V.hashed_terms(docs(spark, sf_dir), "doc_id")
+    return v.groupBy("doc_id").agg(F.count("*").alias("n_entries"), F.round(F.max("value"), 6).alias("largest"), F.round(F.min("value"), 6).alias("smallest"))
 
 
 _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"
@@ -139,16 +139,16 @@ def problem_elements(spark, sf_dir):
     return E.problem_summary(table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") / 50.0).alias("acc")), "p_brand", "acc", 0.52, 0.02)
 
 
-@query("approach_pivot", "SELECT l_returnflag, " + ", ".join(f"coalesce(round(avg(l_quantity) FILTER (l_linenumber = {k}), 6), 0) AS line_{k}" for k in (1, 2, 3)) + " FROM lineitem GROUP BY l_returnflag")
+@query("approach_pivot", "SELECT l_returnflag, " + ", ".join(f"coalesce(round(avg(l_quantity) FILTER (l_linenumber = {k}), 6), 0) AS line_{k}" for k in range(1, 8)) + " FROM lineitem GROUP BY l_returnflag")
 def approach_pivot(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linenumber", [1, 2, 3]).agg(F.round(F.avg("l_quantity"), 6)).fillna(0)
-    return p.toDF("l_returnflag", "line_1", "line_2", "line_3")
+    p = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linenumber", list(range(1, 8))).agg(F.round(F.avg("l_quantity"), 6)).fillna(0)
+    return p.toDF("l_returnflag", *(f"line_{k}" for k in range(1, 8)))
 
 
-@query("needle_pivot", "SELECT CAST(floor(p_size / 10) AS BIGINT) AS depth, round(avg(p_retailprice) FILTER (p_brand = 'Brand#1'), 6) AS b1, round(avg(p_retailprice) FILTER (p_brand = 'Brand#2'), 6) AS b2 FROM part GROUP BY 1")
+@query("needle_pivot", "SELECT CAST(floor(p_size / 10) AS BIGINT) AS depth, " + ", ".join(f"round(avg(p_retailprice) FILTER (p_brand = 'Brand#{k}'), 6) AS b{k}" for k in range(1, 26)) + " FROM part GROUP BY 1")
 def needle_pivot(spark, sf_dir):
     m = lambda b: F.round(F.avg(F.when(F.col("p_brand") == b, F.col("p_retailprice"))), 6)
-    return table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_size") / 10).alias("depth")).agg(m("Brand#1").alias("b1"), m("Brand#2").alias("b2"))
+    return table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_size") / 10).alias("depth")).agg(*(m(f"Brand#{k}").alias(f"b{k}") for k in range(1, 26)))
 
 
 @query("best_of_selection", "SELECT event_type, arg_max(event_id, (value, -event_id)) AS best_event, round(max(value), 6) AS best_value FROM events GROUP BY event_type")
@@ -273,3 +273,59 @@ def c_index(spark, sf_dir):
 @query("linear_contrib_ranking", "WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), c AS (SELECT 'l_quantity' AS feature, round(avg(abs(0.5 * (l_quantity - q))), 6) AS contribution FROM lineitem, m UNION ALL SELECT 'l_discount', round(avg(abs(-20.0 * (l_discount - d))), 6) FROM lineitem, m UNION ALL SELECT 'l_tax', round(avg(abs(10.0 * (l_tax - t))), 6) FROM lineitem, m) SELECT feature, contribution, row_number() OVER (ORDER BY contribution DESC, feature) AS place FROM c")
 def linear_contrib_ranking(spark, sf_dir):
     return E.linear_contributions(table(spark, sf_dir, "lineitem"), {"l_quantity": 0.5, "l_discount": -20.0, "l_tax": 10.0})
+
+
+_NGRAM = "t AS (SELECT doc_id, list_filter({0}, lambda x: x NOT IN ({1})) AS t FROM d), g AS (SELECT doc_id, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM t)"
+
+
+@query("tfidf_vocabulary", f"{D}, {_NGRAM.format(TOKENS, ', '.join(repr(w) for w in V.STOP_WORDS))}, f AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 2) SELECT term, n, df, round(ln((1.0 + (SELECT count(*) FROM d)) / (1 + df)) + 1, 6) AS idf FROM f ORDER BY n DESC, term LIMIT 5000")
+def tfidf_vocabulary(spark, sf_dir):
+    """The 5,000 most frequent terms of one or two words, without stop words, that two documents have: a vocabulary's size is its feature."""
+    return V.vocabulary(docs(spark, sf_dir), "doc_id", most=5000, least_docs=2)
+
+
+@query("similar_pairs_blocked", f"WITH n AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 1, list_transform(embedding, lambda x: CAST(x * 1.5 AS FLOAT)) FROM embeddings WHERE vec_id % 3 = 0) SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS sim FROM n a JOIN n b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE {_COS} >= 0.8")
+def similar_pairs_blocked(spark, sf_dir):
+    """All pairs of different labels with a cosine of 0.8 or more, of vectors and scaled copies of some under other labels."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    copy = e.where("vec_id % 3 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), (F.col("label") + 1).alias("label"), F.transform("embedding", lambda x: (x * 1.5).cast("float")).alias("embedding"))
+    return V.similar_pairs(e.unionByName(copy), 0.8, "label")
+
+
+@query("knn_graph", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS k FROM s) SELECT query_id AS source, vec_id AS target, round(1 - sim, 6) AS distance FROM k WHERE k <= 10")
+def knn_graph(spark, sf_dir):
+    """Edges from every vector whose id is divisible by 20 to its ten nearest of all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    t = V.top_k(V.all_pairs_in_blocks(e, e.where("vec_id % 20 = 0")), 10)
+    return t.select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), F.round(1 - F.col("sim"), 6).alias("distance"))
+
+
+def _clipped(n: int) -> str:
+    return f"list_sum(list_transform(list_distinct(g{n}), lambda x: least(len(list_filter(g{n}, lambda y: y = x)), len(list_filter(h{n}, lambda y: y = x)))))"
+
+
+_ALLGRAMS = "CASE WHEN len({0}) >= {1} THEN list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i:i + {1} - 1], ' ')) ELSE [] END"
+
+
+@query("bleu", f"""WITH c AS (SELECT conv_id, turn, list_slice({TOKENS.replace('text', "coalesce(text, '')")}, 1, 80) AS t FROM conversations), p AS (SELECT a.conv_id, a.turn, a.t AS t, b.t AS r FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+g AS (SELECT conv_id, turn, len(t) AS n, len(r) AS m, {", ".join(f"{_ALLGRAMS.format('t', k)} AS g{k}, {_ALLGRAMS.format('r', k)} AS h{k}" for k in (1, 2))} FROM p),
+s AS (SELECT *, (1 + {_clipped(1)}) / (1.0 + len(g1)) AS p1, (1 + coalesce({_clipped(2)}, 0)) / (1.0 + len(g2)) AS p2 FROM g WHERE n > 0 AND m > 0)
+SELECT conv_id, turn, round(CASE WHEN n < m THEN exp(1 - m / n) ELSE 1.0 END * exp((ln(p1) + ln(p2)) / 2), 6) AS bleu_2 FROM s""")
+def bleu(spark, sf_dir):
+    """BLEU of one and two words, smoothed by one, of consecutive turns; the first 80 words of a turn, as a judge reads them."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(word_tokens(F.coalesce("text", F.lit(""))), 1, 80).alias("t"))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("r"))
+    p = c.join(nxt, ["conv_id", "turn"]).where((F.size("t") > 0) & (F.size("r") > 0))
+    return p.select("conv_id", "turn", F.round(V.bleu(F.col("t"), F.col("r"), 2), 6).alias("bleu_2"))
+
+
+@query("gated_extraction", """WITH n AS (SELECT 'WORLD' AS parent, r_name AS child, 1 AS layer FROM region UNION ALL SELECT r_name, n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), leaf AS (SELECT child, parent FROM n WHERE layer = 2),
+x AS (SELECT c_custkey % 50 AS grp, leaf.child AS element, count(*) FILTER (c.n_name = leaf.child) AS hits, count(*) FILTER (c.r_name = leaf.parent) AS gate FROM c, leaf GROUP BY ALL)
+SELECT grp, element, CASE WHEN hits > 0 THEN CAST(hits AS VARCHAR) ELSE 'not stated' END AS one_pass, CASE WHEN gate > 0 AND hits > 0 THEN CAST(hits AS VARCHAR) ELSE 'not stated' END AS gated, gate > 0 AS open FROM x""")
+def gated_extraction(spark, sf_dir):
+    """Every leaf of an ontology for every group: extracted in one pass, and only behind its parent's gate; else "not stated"."""
+    names = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    said = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("grp"), F.col("c_nationkey").alias("n_nationkey")).join(F.broadcast(names), "n_nationkey")
+    leaf = O.leaves(_nodes(spark, sf_dir)).where("layer = 2").select("child", "parent")
+    return O.gated(said, leaf, "grp", "n_name", "r_name")

@@ -213,3 +213,28 @@ def bootstrap_mean(spark, sf_dir):
     draw = v.select("annotator", "n", "k", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b")).select("annotator", "b", F.pmod(hash_uniform(F.lit(SEED), F.col("b"), F.col("k")), F.col("n")).alias("k"))
     m = draw.join(v.select("annotator", F.col("k").cast("long").alias("k"), "v"), ["annotator", "k"]).groupBy("annotator", "b").agg(F.avg("v").alias("m"))
     return m.groupBy("annotator").agg(F.round(F.percentile("m", 0.025), 6).alias("lo"), F.round(F.percentile("m", 0.975), 6).alias("hi"))
+
+
+def bootstrap_by_element(spark, sf_dir, names: tuple[str, ...]):
+    """2.5 and 97.5 % quantiles of metrics over resamples of each element's rows: <name>_lo, <name>_hi.
+
+    An element has one row a case, so its resamples are Poisson weights of its few kinds of rows. An interval needs ten
+    resamples in which the metric is defined.
+    """
+    rows = long(spark, sf_dir).withColumn("row", F.concat_ws("/", "element", F.col("case_id").cast("string")))
+    b = I.bootstrap_counts(rows, "row", ["element", "annotator"], REPS, SEED)
+    m = metric_columns(digits=None)
+    q = lambda c, p: F.when(F.count(c) >= 10, F.round(F.percentile(c, p), 6))
+    return b.groupBy("element", "annotator").agg(*(x for k in names for x in (q(m[k], 0.025).alias(f"{k}_lo"), q(m[k], 0.975).alias(f"{k}_hi"))))
+
+
+def bootstrap_by_element_sql(names: tuple[str, ...]) -> str:
+    rows = "(SELECT element || '/' || case_id AS case_id, element, annotator, source, code FROM ann)"
+    m = {k: x for k, x in _metric_sql().items() if k in names}
+    each = ", ".join(f"CASE WHEN count({x}) >= 10 THEN round(quantile_cont({x}, {p}), 6) END AS {k}_{s}" for k, x in m.items() for p, s in ((0.025, "lo"), (0.975, "hi")))
+    return f"{_boot_sql(rows, ('element', 'annotator'), _ALL, REPS)}, ci AS (SELECT element, annotator, {each} FROM boot GROUP BY ALL)"
+
+
+def _metric_sql() -> dict[str, str]:
+    sens, spec, ppv = "(tp / nullif(tp + fn, 0))", "(tn / nullif(tn + fp, 0))", "(tp / nullif(tp + fp, 0))"
+    return {**_MS, "ppv": ppv, "npv": "(tn / nullif(tn + fn, 0))", "f1": f"(2 * {ppv} * {sens} / nullif({ppv} + {sens}, 0))", "balanced_accuracy": f"(({sens} + {spec}) / 2)"}

@@ -139,9 +139,14 @@ def group_impute_median(spark, sf_dir):
     return P.impute(_holes(spark, sf_dir), "bal", ["c_mktsegment"], "median").select("c_custkey", F.round("filled", 6).alias("filled"))
 
 
-@query("crosstab", "SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{v}') AS \"n_{v}\", round(100.0 * count(*) FILTER (o_orderpriority = '{v}') / count(*), 6) AS \"pct_{v}\"" for v in ("1-URGENT", "5-LOW")) + " FROM orders GROUP BY o_orderstatus")
+#: All values of the column, so that a table has the same columns whatever rows it is of.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+BRANDS = tuple(f"Brand#{k}" for k in range(1, 26))
+
+
+@query("crosstab", "SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{v}') AS \"n_{v}\", round(100.0 * count(*) FILTER (o_orderpriority = '{v}') / count(*), 6) AS \"pct_{v}\"" for v in PRIORITIES) + " FROM orders GROUP BY o_orderstatus")
 def crosstab(spark, sf_dir):
-    return P.cross_table(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", ["1-URGENT", "5-LOW"])
+    return P.cross_table(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", list(PRIORITIES))
 
 
 @query("row_normalised_props", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS pct FROM lineitem GROUP BY l_returnflag, l_linestatus")
@@ -184,7 +189,7 @@ def top_items_by_subtype(spark, sf_dir):
     i = _items(spark, sf_dir)
     top = i.groupBy("item").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "item").limit(5).select("item")
     g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    grid = g.withColumn("item", F.explode(F.array(*(F.lit(r.item) for r in top.collect()))))
+    grid = g.join(F.broadcast(top.agg(F.collect_list("item").alias("items")))).select("p_brand", "n", F.explode("items").alias("item"))  # one row of five
     k = i.join(F.broadcast(top), "item", "left_semi").groupBy("p_brand", "item").agg(F.count("*").alias("k"))
     return grid.join(k, ["p_brand", "item"], "left").select("p_brand", "item", F.coalesce("k", F.lit(0)).alias("k"), F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 6).alias("prevalence"))
 
@@ -221,10 +226,10 @@ def cohort_rate_gap(spark, sf_dir):
     )
 
 
-@query("label_encode_one_hot", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_type) - 1 AS code, CASE WHEN p_brand = 'Brand#2' THEN 1 ELSE 0 END AS brand_2, CASE WHEN p_brand = 'Brand#3' THEN 1 ELSE 0 END AS brand_3 FROM part")
+@query("label_encode_one_hot", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_type) - 1 AS code, " + ", ".join(f"CASE WHEN p_brand = '{b}' THEN 1 ELSE 0 END AS brand_{b[6:]}" for b in BRANDS) + " FROM part")
 def label_encode_one_hot(spark, sf_dir):
     """Codes by sorted value come from the distinct values, so no global window runs over the rows."""
     p = table(spark, sf_dir, "part")
     codes = p.select("p_type").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("p_type")) - 1)
-    hot = [F.when(F.col("p_brand") == f"Brand#{k}", 1).otherwise(0).alias(f"brand_{k}") for k in (2, 3)]
+    hot = [F.when(F.col("p_brand") == b, 1).otherwise(0).alias(f"brand_{b[6:]}") for b in BRANDS]
     return p.join(codes, "p_type").select("p_partkey", "code", *hot)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +85,73 @@ def write(df: DataFrame, path: str) -> None:
     raise ValueError(f"no format for {path}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_csv_if_there(df: DataFrame, path: str) -> bool:
+    """CSV with a header at path, if the folder above it exists; otherwise a warning and False. Never raises."""
+    try:
+        if not exists(df.sparkSession, path.rstrip("/").rpartition("/")[0] or "/"):
+            warnings.warn(f"no folder for {path}: not written", stacklevel=2)
+            return False
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return True
+    except Exception as e:  # a report that can't be written doesn't end the analysis
+        warnings.warn(f"{path} was not written: {e}", stacklevel=2)
+        return False
+
+
+def write_cases(df: DataFrame, path: str, key: str) -> None:
+    """JSON documents twice: path/cases/<key>=<value> with one folder a case, path/combined with all of them."""
+    rows = df.withColumn("_case", F.col(key))
+    rows.write.mode("overwrite").partitionBy("_case").json(f"{path}/cases")
+    df.write.mode("overwrite").json(f"{path}/combined")
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """A parquet folder for each table, as a workbook has a sheet for each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def todo(items: DataFrame, log: DataFrame, key: str, done: tuple[str, ...] = ("OK", "DONE")) -> DataFrame:
+    """Items without a log row (key, status) that says they are done: what a repeated run has left to do."""
+    finished = log.where(F.col("status").isin(*done)).select(key).distinct()
+    return items.join(finished, key, "left_anti")
+
+
+def with_status(results: DataFrame, key: str, error: str) -> DataFrame:
+    """Log rows of a run: key, status OK or ERROR, and the error's text."""
+    return results.select(key, F.when(F.col(error).isNull(), "OK").otherwise("ERROR").alias("status"), F.col(error).alias("error"))
+
+
+def by_extension(paths: DataFrame, contents: dict[str, Column], path_col: str = "path") -> DataFrame:
+    """Adds text, taken from the column that the path's ending (in lower case) names, and status: OK, EMPTY or UNSUPPORTED."""
+    ending = F.lower(F.regexp_extract(F.col(path_col), r"\.([^./]+)$", 1))
+    text = F.coalesce(*(F.when(ending == k, c) for k, c in contents.items()), F.lit(None).cast("string"))
+    status = F.when(~ending.isin(*contents), "UNSUPPORTED").when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, "EMPTY").otherwise("OK")
+    return paths.withColumn("text", text).withColumn("status", status)
+
+
+def vector_store(spark: SparkSession, path: str, make, force: bool = False) -> DataFrame:
+    """Vectors (id, embedding, unit length beside) at path, built by make() where there are none or force is set."""
+    if force or not exists(spark, f"{path}/_SUCCESS"):
+        v = make()
+        n = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+        v.withColumn("length", n).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def provider_for(model: str, providers: dict):
+    """The provider whose name the model's name begins with, the longest such name first; KeyError without one."""
+    for prefix in sorted(providers, key=len, reverse=True):
+        if model.startswith(prefix):
+            return providers[prefix]
+    raise KeyError(f"no provider for {model}")
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """Parquet at path, made first where it isn't there."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
