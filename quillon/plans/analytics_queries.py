@@ -32,11 +32,12 @@ def tfidf_top_terms(spark, sf_dir):
 _H = "CAST('0x' || substr(md5(term), 1, 8) AS BIGINT)"
 
 
-@query("hashing_tf", f"{TF}, h AS (SELECT doc_id, {_H} % 262144 AS slot, CAST(sum(CASE WHEN CAST('0x' || substr(md5(term), 9, 1) AS INT) >= 8 THEN -tf ELSE tf END) AS DOUBLE) AS v FROM tf GROUP BY ALL), n AS (SELECT doc_id, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM h WHERE v <> 0) SELECT doc_id, count(*) AS n_entries, round(max(v), 6) AS largest, round(min(v), 6) AS smallest FROM n GROUP BY doc_id")
+@query("hashing_tf", f"{TF}, h AS (SELECT doc_id, {_H} % 262144 AS slot, CAST(sum(CASE WHEN CAST('0x' || substr(md5(term), 9, 1) AS INT) >= 8 THEN -tf ELSE tf END) AS DOUBLE) AS v FROM tf GROUP BY ALL), n AS (SELECT doc_id, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM h WHERE v <> 0) SELECT doc_id, count(v) AS n_entries, coalesce(round(max(v), 6), 0) AS largest, coalesce(round(min(v), 6), 0) AS smallest FROM d LEFT JOIN n USING (doc_id) GROUP BY doc_id")
 def hashing_tf(spark, sf_dir):
     """Signed hashed term frequencies of unit length, as sparse entries: their number and extremes for each document."""
-    v = V.hashed_terms(docs(spark, sf_dir), "doc_id")
-    return v.groupBy("doc_id").agg(F.count("*").alias("n_entries"), F.round(F.max("value"), 6).alias("largest"), F.round(F.min("value"), 6).alias("smallest"))
+    d = docs(spark, sf_dir)
+    v = V.hashed_terms(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_entries"), F.round(F.max("value"), 6).alias("largest"), F.round(F.min("value"), 6).alias("smallest"))
+    return d.select("doc_id").join(v, "doc_id", "left").fillna(0, ["n_entries", "largest", "smallest"])
 
 
 _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"

@@ -139,6 +139,9 @@ def test_hashed_terms_of_a_long_document(spark, tmp_path):
     """5,000 distinct tokens in 2**18 slots: few collide, values are signed, and the vector has unit length."""
     d = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(5000))), (2, ""), (3, None)], "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
     got = hashed_terms(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("value")).alias("length"), F.count_if(F.col("value") < 0).alias("negative")).collect()
+    d.withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(str(tmp_path / "documents.parquet"))
+    entries = {r.doc_id: r.n_entries for r in reference_queries()["hashing_tf"](spark, str(tmp_path)).collect()}
+    assert entries == {1: got[0].n, 2: 0, 3: 0}
     assert [r.doc_id for r in got] == [1] and 4850 <= got[0].n <= 5000 and abs(got[0].length - 1) < 1e-9 and 2000 < got[0].negative < 3000
 
 
