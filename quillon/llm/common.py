@@ -55,13 +55,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark() -> int:
+    return len(_scratch)
+
+
+def settle(df: DataFrame, label: str, since: int) -> DataFrame:
+    """df written, and all scratch folders dropped that were made since mark(): those that it was computed from."""
+    written = materialize(df, label)
+    for owner, path in _scratch[since:-1]:
+        _drop(owner, path)
+    del _scratch[since:-1]
+    return written
+
+
 @atexit.register
 def _drop_scratch() -> None:
     for spark, path in _scratch:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _drop(spark, path)
         except Exception:  # the session may be gone at exit; the folder is scratch space
             return
 

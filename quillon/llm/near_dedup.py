@@ -20,8 +20,11 @@ With bands of 7 registers and 64 bands, a pair of similarity 0.8 shares no band
 
 Joins whose sides both grow with the corpus are merge joins at every size, so that small runs tell how large ones grow.
 
-Texts without words have no shingles and are classes of their own, as are null texts. Rows that repeat an id are one
-document. Columns other than the id and the text are not read.
+Texts without words have no shingles and are classes of their own, as are null texts. A row without an id is in the class
+of a row with equal words, otherwise in none (null). Rows that
+repeat an id are one document; of different texts the one with the smallest digest stands for it, of texts with words first. Ties (equal times of
+points, equal weights of leading texts) are broken by number and id, so a run can be repeated. An empty table gives no rows;
+texts may be of any length. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -125,6 +128,10 @@ def band_keys(texts: list[str], size: int, bands: int, rows: int) -> tuple[list[
     return digests, keys, totals.tolist()
 
 
+def _digests():
+    return lambda texts: {"digest": [hashlib.blake2b(b" ".join(t.encode("utf-8", "surrogatepass").split()), digest_size=16).digest() for t in texts]}
+
+
 def similarity(a: Counter, b: Counter) -> float:
     if len(a) > len(b):
         a, b = b, a
@@ -333,10 +340,20 @@ def near_classes(docs: DataFrame, *, least: float = SIMILARITY, size: int = SHIN
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n_shingles", T.LongType())])
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     base = materialize(map_text(named, schema, make, text_col="t", keep=("id",)), "signatures")
+    texts = named.select("id", F.coalesce("t", F.lit("")).alias("t"))
     full = base.where("n_shingles > 0 and id is not null")
+    rank = F.struct((F.col("n_shingles") == 0).alias("empty"), "digest")
+    several = base.where("id is not null").groupBy("id").agg(F.min(rank).alias("a"), F.max(rank).alias("b")).where("a.digest <> b.digest")
+    if several.take(1):
+        several = materialize(several.select("id", "a.digest"), "repeated-ids")
+        full = full.join(several.select("id"), "id", "left_anti").unionByName(full.join(several, ["id", "digest"], "left_semi"))
+        told = map_text(texts.join(several.select("id"), "id", "left_semi"), T.StructType([T.StructField("digest", T.BinaryType())]), _digests, text_col="t", keep=("id", "t"))
+        texts = texts.join(several.select("id"), "id", "left_anti").unionByName(told.join(several, ["id", "digest"], "left_semi").select("id", "t").distinct())
+        chosen = several.withColumnRenamed("digest", "_chosen")
+        base = base.join(chosen, "id", "left").withColumn("digest", F.coalesce("_chosen", "digest")).drop("_chosen")
     first = materialize(full.groupBy("digest").agg(F.min("id").alias("rep")), "representatives")
     reps = full.join(first.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select("id", "bands")
-    _, roots = links(reps, named.select("id", F.coalesce("t", F.lit("")).alias("t")), least=least, size=size)
+    _, roots = links(reps, texts, least=least, size=size)
     of_rep = first.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     of_rep = materialize(of_rep, "classes")
     return base.select("id", "digest", "n_shingles").join(of_rep.hint("merge"), "digest", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), "n_shingles")

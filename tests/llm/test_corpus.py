@@ -112,6 +112,18 @@ def test_exact_groups(spark, bits):
     assert exact_groups(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_exact_groups_of_long_and_odd_rows(spark):
+    """Texts of several real blocks that differ in one character, null ids, ids that repeat, clashing columns."""
+    long = "".join(chr(97 + i % 26) for i in range(100_000))
+    rows = [(1, long), (2, long[:50_000] + " \n" + long[50_000:]), (3, long[:99_999] + "!"), (4, "!" + long[1:]), (None, "x"), (5, "x"), (5, "x y"), (6, None), (6, "")]
+    got = exact_groups(docs(spark, rows, "keep_id string, kept string, text_sha256 string")).collect()
+    by = defaultdict(set)
+    for x in got:
+        by[x.doc_id].add((x.keep_id, x.group_size))
+    assert len(got) == len(rows) and sum(x.kept for x in got) == 6
+    assert by[1] == by[2] == {(2, 2)} and by[3] == {(3, 1)} and by[4] == {(4, 1)} and by[None] == {(5, 2)} and by[5] == {(5, 2), (5, 1)} and by[6] == {(6, 2)}
+
+
 # --- 5
 
 
@@ -270,6 +282,29 @@ def classes(rows, least=0.8):
     return {i: find(i) for i in ids}
 
 
+def classes_by_prefix(rows, least=0.8):
+    """classes() with pairs of texts that have one of their rarest shingles in common: all of 0.8 and more are among them."""
+    sets = {i: multiset(t or "", 5) for i, t in rows}
+    seen = Counter(k for m in sets.values() for k in m)
+    at = defaultdict(list)
+    for i, m in sets.items():
+        each = sorted(((seen[k], k, c) for k in m for c in range(m[k])), key=lambda x: (x[0], x[1], x[2]))
+        for _, k, c in each[: len(each) - int(np.ceil(least * len(each) - 1e-9)) + 1]:
+            at[k, c].append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in {(i, j) for g in at.values() for i in g for j in g if i < j}:
+        if find(a) != find(b) and similarity(sets[a], sets[b]) >= least:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
 def test_near_classes(spark):
     """A chain of edits far longer than a bucket's limit, copies, short and empty texts."""
     r = random.Random(6)
@@ -301,6 +336,29 @@ def test_near_pairs_under_a_common_template(spark):
     assert got == want
 
 
+def test_near_classes_of_odd_rows(spark):
+    """Ids that repeat with other texts, null ids, clashing columns, a very long text and its copy with an edit."""
+    long = [f"w{i % 977}" for i in range(60_000)]
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "quite another text of some words here"), (2, ""), (3, "quite another text of some words here"), (None, "a b c d e f g h"), (None, None)]
+    rows += [(10, " ".join(long)), (11, " ".join([*long[:30_000], "edit", *long[30_000:]])), (12, None), (13, "")]
+    got = defaultdict(set)
+    n = 0
+    for x in near_classes(docs(spark, rows, "class_id string, digest string, bands string")).collect():
+        got[x.doc_id].add(x.class_id)
+        n += 1
+    assert n == len(rows) and len(got[2]) == 1 and got[None] == {None, 1}
+    assert got[10] == got[11] == {10} and got[12] == {12} and got[13] == {13}
+    # Row 2 is the document of one of its two texts, so it is with 1 or with 3.
+    assert (got[1] == got[2] == {1} and got[3] == {3}) or (got[1] == {1} and got[2] == got[3] == {2})
+
+
+def test_near_recall_is_measured(spark):
+    """Against an exact search of the whole table: every link of 0.8 and more is within one class, and no other is made."""
+    rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    got = {x.doc_id: x.class_id for x in near_classes(table(spark, "/root/testdata/sf0.01", "documents")).collect()}
+    assert got == classes_by_prefix(rows)
+
+
 def test_near_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
     assert {x.doc_id: x.class_id for x in op9_near_dedup(spark, sf_dir).collect()} == classes(rows)
@@ -336,6 +394,28 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(d, one).collect()} == {"aa", "und"}
 
 
+def test_language_by_brute_force(spark):
+    """Repeated rows, a tie between two languages of equal texts, clashing names; margins and losses by a plain version."""
+    rows = [(i, t, k) for i, (t, k) in enumerate([("xyxy xy", "aa"), ("pqpq pq", "bb"), ("mnmn mn", "cc")] * 8)] + [(500, "xyxy pq", None), (500, "xyxy pq", None)]
+    d = spark.createDataFrame([(*r, "s", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    m = language_id.fit(d)
+    got = [(x.doc_id, x.lang_pred, x.score, x.ambiguous) for x in language_id.identify(d, m).collect()]
+    assert len(got) == len(rows) and got[-1] == got[-2]
+    for (i, t, k), (j, lang, score, _) in zip(rows, got):
+        n, total = 0, np.zeros(m.code.shape[1])
+        for _, f in language_id.features([t]):
+            for x in f.tolist():
+                total += m.weights[x]
+                n += 1
+        loss = [float((np.log1p(np.exp(-2 * (total / n / m.scale) * c)) * m.trust).sum() / m.trust.sum()) for c in m.code]
+        best = min(range(len(loss)), key=lambda q: loss[q])
+        assert i == j and lang == m.languages[best] and (k is None or lang == k)
+        assert score == pytest.approx(1 / sum(np.exp(-8 * (x - loss[best])) for x in loss), abs=1e-6)
+    same = spark.createDataFrame([(i, "same text", k) for i, k in enumerate(["bb", "aa"] * 10)], "doc_id long, text string, lang string")
+    tie = language_id.identify(same, language_id.fit(same)).collect()
+    assert {(x.lang_pred, x.ambiguous) for x in tie} == {("aa", True)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 7, 12, 40])
 def test_codewords_differ(n):
     c = language_id.codewords(n)

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillon.llm.common import materialize, table
+from quillon.llm.language_id import fit, held_out, identify
 from tests.llm.test_corpus import classes
 
 
@@ -23,7 +24,10 @@ def test_stages(spark, sf_dir):
             seen.append({r.doc_id: r.text for r in d.collect()})
             assert set(seen[-1]) <= set(seen[-2])
     start, lang, exact, near, clean = seen
-    assert all(not re.search(r"[^\W\d_]", start[i] or "") for i in start.keys() - lang.keys()) or len(start.keys() - lang.keys()) < 0.01 * len(start)
+    told = {x.doc_id: x for x in identify(table(spark, sf_dir, "documents"), fit(table(spark, sf_dir, "documents").where(~held_out()))).collect()}
+    for i, t in start.items():
+        letter = re.search(r"[^\W\d_]", t or "")
+        assert (i in lang) == (bool(letter) and not told[i].ambiguous), i
     groups: dict[str, list] = {}
     for i, t in lang.items():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
@@ -40,7 +44,7 @@ def test_stages(spark, sf_dir):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = d.collect()
     assert {r.doc_id for r in rows} == set(clean)
-    for r in rows[:50]:
+    for r in rows:
         assert r.ids == lib.encode(clean[r.doc_id] or "", add_special_tokens=False).ids
 
 
@@ -56,3 +60,10 @@ def test_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "nothing like it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0) for r in out) == [0, 4, 6]
+
+
+def test_exact_stage_tells_rows_of_an_id_apart(spark, tmp_path):
+    rows = [(1, "A", "en", 1), (2, "A", "en", 1), (2, "B", "en", 1), (2, "B", "de", 1), (2, " B", "en", 1), (None, "C", None, 1)]
+    d = materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int"), "rows")
+    got = corpus_pipeline.exact(spark, d, "")
+    assert got.columns == d.columns and sorted(map(str, got.collect())) == sorted(map(str, [d.where("doc_id = 1").first(), d.where("text = ' B'").first(), d.where("text = 'C'").first()]))
