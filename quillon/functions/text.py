@@ -67,11 +67,23 @@ INTERPOLATIONS = {"MUSTACHE": "{{%s}}", "MUSTACHE_WITH_SPACE": "{{ %s }}", "FSTR
 # End of fixed values.
 
 
+#: Rules whose every match has a digit, and a pattern that a text with a match of the others but CITY contains. What the rules
+#: put in has neither, so a text without them need not be searched.
+WITH_DIGIT = ("ADDRESS", "ZIP", "DATE_MDY", "DATE_TEXT", "DATE_MMDDYY", "PHONE", "FAX", "SSN", "MRN_NUMBER", "IP_ADDRESS", "UNIQUE_ID")
+SIGNS = "(?i)@|https?:|www|mrn|rec|patient|member|policy|subscr|benef|account|acct|certif|licen|permit|vin|vehicle|plate|device|serial|equip"
+
+
 def redact(text: Column, rules=REDACTION_RULES) -> Column:
-    """Every match of each rule in turn becomes [NAME]; case is ignored."""
-    for name, pattern in rules:
-        text = F.regexp_replace(text, f"(?i){pattern}", f"[{name}]")
-    return text
+    """Every match of each rule in turn becomes [NAME]; case is ignored. Rules that a text can't match are skipped."""
+
+    def chain(some) -> Column:
+        out = text
+        for name, pattern in some:
+            out = F.regexp_replace(out, f"(?i){pattern}", f"[{name}]")
+        return out
+
+    wordy = [r for r in rules if r[0] not in WITH_DIGIT]
+    return F.when(text.rlike("[0-9]"), chain(rules)).when(text.rlike(SIGNS), chain(wordy)).otherwise(chain([r for r in wordy if r[0] == "CITY"]))
 
 
 def redact_simple(text: Column) -> Column:

@@ -53,6 +53,13 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("case_id"), F.col("value").alias("text"))
 
 
+def corpus_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same files as a stream: each new file once. sgml_documents() and the text functions take it as they take a table."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    raw = spark.readStream.format("text").option("wholetext", True).load(path)
+    return raw.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("case_id"), F.col("value").alias("text"))
+
+
 def sgml_documents(raw: DataFrame, text_col: str, tag: str, fields: list[str]) -> DataFrame:
     """Documents between <tag ...> and </tag>, with the contents of their first <field> elements."""
     found = raw.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))).alias("body"))

@@ -264,6 +264,28 @@ def test_resume_dispatch_and_json(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o.json")).count() == 3
 
 
+def test_sgml_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.sgm").write_text("<DOC id=1><TITLE>one</TITLE></DOC>\n<DOC><TITLE>two</TITLE></DOC>")
+    s = files.sgml_documents(files.corpus_stream(spark, str(tmp_path / "in")), "text", "DOC", ["TITLE"])
+    s.writeStream.format("memory").queryName("sgml").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+    assert sorted(r.title for r in spark.table("sgml").collect()) == ["one", "two"]
+
+
+def test_skipped_rules_change_nothing(spark):
+    r = random.Random(11)
+    parts = ["12 Main Hill Street", "New York", "10001", "1/2/20", "fax: 212 555 0100", "a@b.org", "patient id", "policy # ABCDEF", "acct no ABCDEFG", "permit id ABCDEF", "plate ABCDEF", "serial no ABCDEFG", "www.x.org", "VIN ABCDEF", " ", "x"]
+    rows = [(i, " ".join(r.choices(parts, k=r.randint(0, 4)))) for i in range(400)]
+
+    def plain(text):
+        for name, pattern in X.REDACTION_RULES:
+            text = F.regexp_replace(text, f"(?i){pattern}", f"[{name}]")
+        return text
+
+    got = spark.createDataFrame(rows, "i int, t string").select(X.redact(F.col("t")).alias("a"), plain(F.col("t")).alias("b"))
+    assert got.where("a <> b").count() == 0 and got.where("a like '%[%'").count() > 200
+
+
 def test_holt_is_per_series(spark):
     from quillon.operators.series import holt
 
