@@ -192,7 +192,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, bl
     span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
     match = T.StructType([T.StructField("item", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("words", "at", "item_at"))])
     long = ("n_words", "n_hit", "n_items")
-    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in long), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span)), T.StructField("matches", T.ArrayType(match))])
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in long), T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("spans", T.ArrayType(span)), T.StructField("matches", T.ArrayType(match))])
 
     def make():
         def f(texts: list[str]) -> dict[str, list]:

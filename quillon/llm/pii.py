@@ -119,7 +119,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     worth = {k: F.lit(True) if k in ("email", "secret") else F.col("_digit") for k in KINDS}
     found = found.select("_id", "_t", *(F.when(worth[k] & needs.get(k, F.lit(True)), F.regexp_extract_all("_t", F.lit(p), F.lit(0))).otherwise(empty).alias(f"_{k}") for k, (p, _, _) in KINDS.items()))
     some = lambda k: F.size(f"_{k}") > 0
-    found = found.select("_id", *(f"_{k}" for k in KINDS), *(F.when(some(k), F.slice(F.split("_t", p, -1), F.lit(1), F.size(f"_{k}"))).otherwise(empty).alias(f"_{k}_b") for k, (p, _, _) in KINDS.items()))
+    found = found.select("_id", *(f"_{k}" for k in KINDS), *(F.when(some(k), F.slice(F.split("_t", p, -1), F.lit(1),
+        F.size(f"_{k}"))).otherwise(empty).alias(f"_{k}_b") for k, (p, _, _) in KINDS.items()))
     ends = lambda k: _running_sums(F.zip_with(f"_{k}", f"_{k}_b", lambda m, b: F.length(m) + F.length(b)))
     found = found.select("_id", *(x for k in KINDS for x in (f"_{k}", f"_{k}_b")), *(F.when(some(k), ends(k)).otherwise(F.array().cast("array<int>")).alias(f"_{k}_e") for k in KINDS))
     zipped = [F.arrays_zip(F.col(f"_{k}").alias("m"), F.col(f"_{k}_b").alias("b"), F.col(f"_{k}_e").alias("e")) for k in KINDS]
@@ -132,7 +133,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["k"], s["s"].cast("string"), s["e"].cast("string"))), ",")
     counts = [F.size(F.filter(spans, lambda s: s["k"] == k)).cast("long").alias(f"n_{k}") for k in BASE]  # noqa: B023
     base = F.filter(spans, lambda s: s["o"] < len(BASE))
-    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
+    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"),
+        written(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def _oracle() -> str:
@@ -147,8 +149,15 @@ def _oracle() -> str:
         "secret": KINDS["secret"][0],
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
-    luhn = f"length({digits}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse({digits}), k, 1) AS INT) ELSE (2 * CAST(substr(reverse({digits}), k, 1) AS INT)) // 10 + (2 * CAST(substr(reverse({digits}), k, 1) AS INT)) % 10 END)) % 10 = 0"
-    mod97 = "list_reduce(list_prepend(0, list_transform(range(1, length(m) + 1), lambda k: ascii(substr(substr(m, 5) || substr(m, 1, 4), k, 1)))), lambda r, c: CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END) = 1"
+    luhn = (
+        f"length({digits}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 "
+        f"THEN CAST(substr(reverse({digits}), k, 1) AS INT) ELSE (2 * CAST(substr(reverse({digits}), k, 1) "
+        f"AS INT)) // 10 + (2 * CAST(substr(reverse({digits}), k, 1) AS INT)) % 10 END)) % 10 = 0"
+    )
+    mod97 = (
+        "list_reduce(list_prepend(0, list_transform(range(1, length(m) + 1), lambda k: ascii(substr(substr(m, 5) || substr(m, 1, 4), k, "
+        "1)))), lambda r, c: CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END) = 1"
+    )
     ip = "len(list_filter(string_split(m, '.'), lambda o: length(ltrim(o, '0')) > 3 OR CAST('0' || right(o, 3) AS INT) > 255)) = 0"
     ok = {"ip": ip, "card": luhn, "phone": f"length({digits}) BETWEEN 10 AND 15", "iban": mod97, "email": "true", "ssn": "true", "secret": "true"}
     each = []

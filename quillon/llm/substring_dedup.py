@@ -181,7 +181,8 @@ def _spans(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(number[first].view(np.int64)), pa.array(spans, pa.binary()), rows.column(0).take(pa.array(owner)), pa.array([digests[i] for i in owner.tolist()], pa.binary()),
-                        pa.array((begin - words.first[owner]).astype(np.int32)), pa.array([each[x : x + k].view(np.int64).tolist() for x, k in zip(begin.tolist(), size.tolist())], pa.list_(pa.int64())),
+                        pa.array((begin - words.first[owner]).astype(np.int32)), pa.array([each[x : x + k].view(np.int64).tolist() for x,
+                            k in zip(begin.tolist(), size.tolist())], pa.list_(pa.int64())),
                     ],
                     names=["a", "g", "id", "digest", "s", "windows"],
                 )
@@ -207,7 +208,9 @@ def _runs(marked: DataFrame, window: int) -> DataFrame:
                             out.append((m["a"], _number(text), text, i, d, int(part[0])))
                 if out:
                     a, g, text, i, d, s = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(g, pa.binary()), pa.array(text, pa.binary()), rows.column(0).take(pa.array(i)), pa.array(d, pa.binary()), pa.array(s, pa.int32())], names=["a", "g", "text", "id", "digest", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(g, pa.binary()), pa.array(text, pa.binary()),
+                        rows.column(0).take(pa.array(i)), pa.array(d, pa.binary()), pa.array(s, pa.int32())], names=["a", "g", "text", "id",
+                        "digest", "s"])
         give_back()
 
     return marked.mapInArrow(run, f"a bigint, g binary, text binary, id {kind}, digest binary, s int")
@@ -273,7 +276,8 @@ def repeated_passages(docs: DataFrame, *, window: int = WINDOW, anchor: int = AN
     least = materialize(spans.groupBy("a", "g").agg(F.min("id").alias("least")), "least-spans")
     judged = spans.join(least, ["a", "g"])
     whole = judged.where("least < id").select("id", "digest", "s", (F.col("s") + F.size("windows") - 1 + window).alias("e"))
-    single = materialize(judged.where("least = id").select("a", "id", "digest", F.posexplode("windows").alias("k", "w"), "s").select("a", "w", "id", "digest", (F.col("s") + F.col("k")).alias("s")), "windows")
+    single = materialize(judged.where("least = id").select("a", "id", "digest", F.posexplode("windows").alias("k", "w"), "s").select("a", "w", "id",
+        "digest", (F.col("s") + F.col("k")).alias("s")), "windows")
     again = materialize(single.groupBy("a", "w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "w"), "repeated-windows")
     starts = single.join(again, ["a", "w"]).groupBy("id", "digest", "a").agg(F.collect_list("s").alias("starts"))
     starts = materialize(starts.groupBy("id", "digest").agg(F.collect_list(F.struct("a", "starts")).alias("mark")), "starts")
@@ -288,7 +292,8 @@ def repeated_passages(docs: DataFrame, *, window: int = WINDOW, anchor: int = AN
     placed = found.select("a", "g", "id", "digest", "s", F.size(F.split(F.col("text").cast("string"), " ")).alias("n"))
     placed = placed.join(of_run.select("a", "g", "least"), ["a", "g"])
     whole_runs = placed.where("least < id").select("id", "digest", "s", (F.col("s") + F.col("n")).alias("e"))
-    part = placed.where("least = id").join(cut, ["a", "g"]).select("id", "digest", "s", F.explode("cut").alias("c")).select("id", "digest", (F.col("s") + F.col("c.from")).alias("s"), (F.col("s") + F.col("c.to")).alias("e"))
+    part = placed.where("least = id").join(cut, ["a", "g"]).select("id", "digest", "s", F.explode("cut").alias("c")).select("id", "digest",
+        (F.col("s") + F.col("c.from")).alias("s"), (F.col("s") + F.col("c.to")).alias("e"))
     gone = whole.unionByName(whole_runs).unionByName(part).distinct().groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("mark"))
     gone = materialize(gone, "gone")
     all_of = copies.select("id", "digest", F.array(F.struct(F.lit(0).alias("s"), F.lit(2**31 - 1).alias("e"))).alias("mark"))

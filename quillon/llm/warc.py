@@ -63,7 +63,9 @@ def captures(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     p = p.withColumn("h", F.sha2("html", 256)).join(of, "h", "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     stamp = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(start))) + F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return p.select("id", "url", url_key(F.col("url")).alias("key"), stamp.alias("stamp"), "html", F.octet_length("html").alias("bytes"), base32_sha1(F.col("html")).alias("digest"), F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    return p.select("id", "url", url_key(F.col("url")).alias("key"), stamp.alias("stamp"), "html", F.octet_length("html").alias("bytes"),
+        base32_sha1(F.col("html")).alias("digest"), F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again,
+        F.col("first")).alias("refers_to"))
 
 
 def _record(c: DataFrame) -> Column:
@@ -128,7 +130,8 @@ def _page(urn: str) -> int | None:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files at path: file, pos, id, url, stamp, kind, digest, bytes, refers_to, and whether a response's block has its digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("file"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup",
+        "true").load(path).select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("file"), "content")
     names = ["file", "pos", "id", "url", "stamp", "kind", "digest", "bytes", "refers_to", "sound"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +245,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = materialize(read_warc(spark, path), "records")
     history = merged_index(records).select("file", "pos", F.col("key").alias("url_key"), "position")
     return records.join(history, ["file", "pos"]).select(
-        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "sound", "url_key", "stamp", "position"
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+            F.col("kind").alias("record_type"), "refers_to", "sound", "url_key", "stamp", "position"
     )
 
 
