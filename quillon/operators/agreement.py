@@ -63,13 +63,15 @@ def balance_audit(counts: DataFrame) -> DataFrame:
     bal = (F.try_divide(F.col("tp"), p) + F.try_divide(F.col("tn"), n)) / 2
     flag = F.when((p == 0) | (n == 0), "one class").when(F.greatest(p, n) >= 3 * F.least(p, n), "imbalanced").otherwise("balanced")
     advice = F.when(bal.isNull(), "accuracy").when(F.abs(acc - bal) > 0.05, "balanced_accuracy").otherwise("either")
-    return counts.select("element", "annotator", p.alias("n_positive"), n.alias("n_negative"), flag.alias("imbalance_flag"), F.round(acc, 6).alias("accuracy"), F.round(bal, 6).alias("balanced_accuracy"), advice.alias("recommendation"))
+    return counts.select("element", "annotator", p.alias("n_positive"), n.alias("n_negative"), flag.alias("imbalance_flag"), F.round(acc,
+        6).alias("accuracy"), F.round(bal, 6).alias("balanced_accuracy"), advice.alias("recommendation"))
 
 
 def binary_curve_areas(long: DataFrame) -> DataFrame:
     """ROC and precision-recall areas of calls without scores (codes 1 and 3 say present); NULL where one class is absent."""
     y, p = F.col("source") == 1, F.col("code").isin("1", "3")
-    c = long.where("source is not null and code is not null").groupBy("element", "annotator").agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+    c = long.where("source is not null and code is not null").groupBy("element", "annotator").agg(F.count_if(y & p).alias("tp"),
+        F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
     tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
     r, sp, pr = F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp), F.try_divide(tp, tp + fp)
     prev = F.try_divide(tp + fn, tp + fp + fn + tn)

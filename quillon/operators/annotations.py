@@ -35,7 +35,8 @@ def from_lineitem(lineitem: DataFrame) -> DataFrame:
     rest = F.col("l_suppkey") % 25
     ai = F.when(F.col("l_orderkey") % 29 == 0, None).when(absent & (F.col("l_partkey") % 7 == 0), "3").when(absent, "NA").when(rest == 24, "3").when(rest >= 23, "2").otherwise("1")
     return lineitem.select(
-        F.col("l_orderkey").alias("case_id"), F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("element"), source.alias("source"), normal_code(human).alias("human"), normal_code(ai).alias("ai")
+        F.col("l_orderkey").alias("case_id"), F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("element"), source.alias("source"),
+            normal_code(human).alias("human"), normal_code(ai).alias("ai")
     )
 
 

@@ -38,7 +38,8 @@ def multiclass_auc(df: DataFrame, klass: str, y: str, p: str) -> DataFrame:
 def macro_scores(df: DataFrame, y: str, p: str) -> DataFrame:
     """Means over classes of precision, recall and F1; 0 where undefined. From the confusion table."""
     t = df.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count("*").alias("n"))
-    long = t.select(F.explode(F.array(F.struct(F.col("y").alias("k"), F.lit(1).alias("truth")), F.struct(F.col("p").alias("k"), F.lit(0).alias("truth")))).alias("s"), "n", (F.col("y") == F.col("p")).alias("same")).select("s.*", "n", "same")
+    long = t.select(F.explode(F.array(F.struct(F.col("y").alias("k"), F.lit(1).alias("truth")), F.struct(F.col("p").alias("k"),
+        F.lit(0).alias("truth")))).alias("s"), "n", (F.col("y") == F.col("p")).alias("same")).select("s.*", "n", "same")
     hit = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     m = long.groupBy("k").agg(hit((F.col("truth") == 1) & F.col("same")).alias("tp"), hit((F.col("truth") == 0) & ~F.col("same")).alias("fp"), hit((F.col("truth") == 1) & ~F.col("same")).alias("fn"))
     mean = lambda a, b: F.round(F.avg(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))), 6)
@@ -59,7 +60,8 @@ def concordance(df: DataFrame, time: str, event: str, risk: str, by: str) -> Dat
     x = x.join(times, [by, "t"]).where("r is not null").withColumn("k", F.col("k") - 1)
     each = x.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     late = F.expr("shiftright(k, level) & 1")
-    each = each.select(by, "level", F.expr("shiftright(k, level + 1)").alias("above"), "r", F.when((late == 0) & (F.col("e") == 1), F.col("n")).otherwise(0).alias("early"), F.when(late == 1, F.col("n")).otherwise(0).alias("late"))
+    each = each.select(by, "level", F.expr("shiftright(k, level + 1)").alias("above"), "r", F.when((late == 0) & (F.col("e") == 1),
+        F.col("n")).otherwise(0).alias("early"), F.when(late == 1, F.col("n")).otherwise(0).alias("late"))
     group = [by, "level", "above"]
     sums = each.groupBy(*group, "r").agg(F.sum("early").alias("early"), F.sum("late").alias("late"))
     up = running_total(sums, group, ["r"], "early", "up")
@@ -83,7 +85,8 @@ def k_anonymity(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def problem_summary(df: DataFrame, by: str, acc: str, mean_below: float, min_below: float) -> DataFrame:
     g = df.groupBy(by).agg(F.avg(acc).alias("m"), F.max(acc).alias("hi"), F.min(acc).alias("lo"), F.count("*").alias("n"))
-    return g.select(by, F.round("m", 6).alias("mean_acc"), F.round("hi", 6).alias("max_acc"), F.round("lo", 6).alias("min_acc"), "n", ((F.col("m") < mean_below) | (F.col("lo") < min_below)).alias("needs_refinement"))
+    return g.select(by, F.round("m", 6).alias("mean_acc"), F.round("hi", 6).alias("max_acc"), F.round("lo", 6).alias("min_acc"), "n",
+        ((F.col("m") < mean_below) | (F.col("lo") < min_below)).alias("needs_refinement"))
 
 
 def linear_contributions(df: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -72,7 +72,8 @@ def mann_whitney(rows: DataFrame, value: str, side: Column, by: list[str]) -> Da
 def wilcoxon(rows: DataFrame, diff: str, by: list[str]) -> DataFrame:
     """Signed-rank sum of non-zero differences, and z with tie correction, without continuity correction."""
     d = rows.where(F.col(diff) != 0).withColumn("_a", F.abs(F.col(diff)))
-    g = counted_ranks(d, "_a", by, F.col(diff) > 0).groupBy(*by).agg(F.sum(F.col("r") * F.col("k")).alias("w"), F.sum("t").alias("n"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"))
+    g = counted_ranks(d, "_a", by, F.col(diff) > 0).groupBy(*by).agg(F.sum(F.col("r") * F.col("k")).alias("w"), F.sum("t").alias("n"),
+        F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     return g.select(*by, "n", F.round("w", 6).alias("w_plus"), F.round((F.col("w") - n * (n + 1) / 4) / F.sqrt(var), 6).alias("z"))

@@ -83,7 +83,8 @@ def ridge_held_out(df: DataFrame, columns: list[str], label: str, fold: str, k:
     for i in range(k):
         scored = LinearRegression(regParam=penalty, elasticNetParam=0.0).fit(data.where(F.col(fold) != i)).transform(data.where(F.col(fold) == i))
         e = F.col("label") - F.col("prediction")
-        row = scored.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop("label") * F.count("*"))).alias("r2")).select(F.lit(i).alias("fold"), "*")
+        row = scored.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e),
+            F.var_pop("label") * F.count("*"))).alias("r2")).select(F.lit(i).alias("fold"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -143,8 +144,11 @@ def ridge_leave_one_out(df: DataFrame, columns: list[str], labels: list[str], pe
     inner = lambda w: sum((a * float(b) for a, b in zip(x, w)), F.lit(0.0))
     leverage = F.lit(1.0 / n) + sum((x[i] * inner(inverse[i]) for i in range(k)), F.lit(0.0))
     known = df.dropna(subset=every)
-    rows = known.select(F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("y"), ((F.col(c).cast("double") - float(mean[k + j]) - inner(weights[:, j])) / (1 - leverage)).alias("e")) for j, c in enumerate(labels)))).alias("s")).select("s.*")
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), (1 - F.try_divide(F.sum(F.col("e") * F.col("e")), F.var_pop("y") * F.count("*"))).alias("r2"))
+    rows = known.select(F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("y"),
+        ((F.col(c).cast("double") - float(mean[k + j]) - inner(weights[:, j])) / (1 - leverage)).alias("e")) for j,
+        c in enumerate(labels)))).alias("s")).select("s.*")
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
+        (1 - F.try_divide(F.sum(F.col("e") * F.col("e")), F.var_pop("y") * F.count("*"))).alias("r2"))
 
 
 def truncated_svd(df: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:

@@ -39,4 +39,5 @@ def gated(said: DataFrame, leaf: DataFrame, group: str, value: str, gate: str) -
     grid = said.select(group).distinct().join(F.broadcast(every)).select(group, F.explode("l").alias("x")).select(group, "x.*")
     x = grid.join(hits, [group, "child"], "left").join(gates, [group, "parent"], "left")
     text = F.col("hits").cast("string")
-    return x.select(group, F.col("child").alias("element"), F.coalesce(text, F.lit("not stated")).alias("one_pass"), F.when(F.col("gate") > 0, text).alias("gated"), (F.coalesce("gate", F.lit(0)) > 0).alias("open")).fillna("not stated", ["gated"])
+    return x.select(group, F.col("child").alias("element"), F.coalesce(text, F.lit("not stated")).alias("one_pass"), F.when(F.col("gate") > 0,
+        text).alias("gated"), (F.coalesce("gate", F.lit(0)) > 0).alias("open")).fillna("not stated", ["gated"])

@@ -52,7 +52,8 @@ def describe_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns))).alias("x")).select("x.*").where("v is not null")
     n = long.groupBy("column_name", "v").agg(F.count("*").alias("k"))
     best = F.min(F.struct((-F.col("k")).alias("k"), F.col("v").alias("v")))
-    return n.groupBy("column_name").agg(F.sum("k").alias("n"), F.count("*").alias("n_unique"), best.alias("b")).select("column_name", "n", "n_unique", F.col("b.v").alias("top"), (-F.col("b.k")).alias("freq"))
+    return n.groupBy("column_name").agg(F.sum("k").alias("n"), F.count("*").alias("n_unique"), best.alias("b")).select("column_name", "n", "n_unique",
+        F.col("b.v").alias("top"), (-F.col("b.k")).alias("freq"))
 
 
 def iqr_fences(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
@@ -64,7 +65,8 @@ def iqr_fences(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 def outlier_share(df: DataFrame, column: str) -> DataFrame:
     f = df.join(F.broadcast(iqr_fences(df, column)))  # one row
     out = (F.col(column) < F.col("lo")) | (F.col(column) > F.col("hi"))
-    return f.agg(F.count(column).alias("n"), F.count_if(out).alias("n_outliers"), F.round(100.0 * F.count_if(out) / F.count(column), 6).alias("pct_outliers")).select(F.lit(column).alias("column_name"), "*")
+    return f.agg(F.count(column).alias("n"), F.count_if(out).alias("n_outliers"), F.round(100.0 * F.count_if(out) / F.count(column),
+        6).alias("pct_outliers")).select(F.lit(column).alias("column_name"), "*")
 
 
 def clipped(df: DataFrame, column: str) -> DataFrame:
@@ -106,7 +108,8 @@ def table_one(df: DataFrame, group: str, numeric: list[str], categorical: list[s
     value = F.concat(fmt(F.col("q")[1]), F.lit(" ("), fmt(F.col("q")[0]), F.lit(", "), fmt(F.col("q")[2]), F.lit(")"))
     num = num.select(F.col("column_name").alias("variable"), F.lit("").alias("level"), "grp", "n", value.alias("value"))
     parts.append(num)
-    long = both.select("grp", F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in categorical))).alias("x")).select("grp", "x.*").where("level is not null")
+    long = both.select("grp", F.explode(F.array(*(F.struct(F.lit(c).alias("variable"),
+        F.col(c).cast("string").alias("level")) for c in categorical))).alias("x")).select("grp", "x.*").where("level is not null")
     k = long.groupBy("variable", "level", "grp").agg(F.count("*").alias("n"))
     share = F.format_string("%.1f", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("variable", "grp")))
     parts.append(k.select("variable", "level", "grp", "n", F.concat(F.col("n").cast("string"), F.lit(" ("), share, F.lit(")")).alias("value")))
@@ -116,7 +119,9 @@ def table_one(df: DataFrame, group: str, numeric: list[str], categorical: list[s
 def catalogue(df: DataFrame) -> DataFrame:
     """position, type, number of distinct and of missing values of each column."""
     n = F.count("*")
-    out = per_column(df, df.columns, lambda c: {"position": F.max(F.lit(df.columns.index(c) + 1)), "data_type": F.max(F.lit(kind_of(df.schema[c].dataType))), "n_unique": F.count_distinct(c), "n_missing": n - F.count(c), "pct_missing": F.round((n - F.count(c)) * 100.0 / n, 6)})
+    out = per_column(df, df.columns, lambda c: {"position": F.max(F.lit(df.columns.index(c) + 1)),
+        "data_type": F.max(F.lit(kind_of(df.schema[c].dataType))), "n_unique": F.count_distinct(c), "n_missing": n - F.count(c),
+        "pct_missing": F.round((n - F.count(c)) * 100.0 / n, 6)})
     return out
 
 

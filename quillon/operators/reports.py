@@ -184,7 +184,11 @@ def redaction_quality(spans: DataFrame, severity: dict[str, int]) -> DataFrame:
     """
     s = F.element_at(F.create_map(*(F.lit(x) for kv in severity.items() for x in kv)), F.col("type"))
     hit = lambda a, b: F.count_if((F.col("truth") == a) & (F.col("redacted") == b))
-    g = spans.withColumn("_s", F.coalesce(s, F.lit(1))).groupBy("type").agg(hit(True, True).alias("tp"), hit(False, True).alias("fp"), hit(True, False).alias("fn"), hit(False, False).alias("tn"), F.sum(F.when(F.col("truth"), F.col("_s"))).alias("_all"), F.sum(F.when(F.col("truth") & ~F.col("redacted"), F.col("_s")).otherwise(0)).alias("_missed"))
+    g = spans.withColumn("_s", F.coalesce(s, F.lit(1))).groupBy("type").agg(hit(True, True).alias("tp"), hit(False, True).alias("fp"), hit(True,
+        False).alias("fn"), hit(False, False).alias("tn"), F.sum(F.when(F.col("truth"), F.col("_s"))).alias("_all"),
+        F.sum(F.when(F.col("truth") & ~F.col("redacted"), F.col("_s")).otherwise(0)).alias("_missed"))
     r = lambda a, b: F.round(F.try_divide(a.cast("double"), b), 6)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return g.select("type", "tp", "fp", "fn", "tn", r(tp, tp + fn).alias("recall"), r(tp, tp + fp).alias("precision"), r(2 * tp, 2 * tp + fp + fn).alias("f1"), r(fn, tp + fn).alias("fnr"), r(fp, fp + tn).alias("fpr"), r(fp, tp + fp).alias("over_redaction"), r(F.col("_missed"), F.col("_all")).alias("residual_risk"))
+    return g.select("type", "tp", "fp", "fn", "tn", r(tp, tp + fn).alias("recall"), r(tp, tp + fp).alias("precision"), r(2 * tp,
+        2 * tp + fp + fn).alias("f1"), r(fn, tp + fn).alias("fnr"), r(fp, fp + tn).alias("fpr"), r(fp, tp + fp).alias("over_redaction"),
+        r(F.col("_missed"), F.col("_all")).alias("residual_risk"))

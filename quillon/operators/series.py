@@ -18,7 +18,8 @@ def iterations(df: DataFrame, by: str, order: list[str], name: str = "iteration"
 def linear_trend(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Slope, intercept, r2 and the slope's standard error for each group, from running sums only."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    g = df.groupBy(by).agg(F.count(b).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy"))
+    g = df.groupBy(by).agg(F.count(b).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b,
+        a).alias("r2"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy"))
     err = F.sqrt(F.try_divide(F.col("syy") * (1 - F.col("r2")), (F.col("n") - 2) * F.col("sxx")))
     direction = F.when(F.col("slope") > 0, "up").when(F.col("slope") < 0, "down").otherwise("flat")
     return g.select(by, "n", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")), F.round(err, 6).alias("stderr"), direction.alias("direction"))
@@ -70,7 +71,8 @@ def holt(df: DataFrame, by: str, order: str, y: str, steps: int = 3) -> DataFram
                 if best is None or (e**2).sum() < best[0]:
                     best = ((e**2).sum(), a, b, level, slope, np.abs(e).mean(), np.sqrt((e**2).mean()))
         _, a, b, level, slope, mae, rmse = best
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * steps, "step": range(1, steps + 1), "forecast": [round(level + k * slope, 6) for k in range(1, steps + 1)], "alpha": a, "beta": b, "mae": round(mae, 6), "rmse": round(rmse, 6)})
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * steps, "step": range(1, steps + 1), "forecast": [round(level + k * slope, 6) for k in range(1,
+            steps + 1)], "alpha": a, "beta": b, "mae": round(mae, 6), "rmse": round(rmse, 6)})
 
     kind = df.schema[by].dataType.simpleString()
     return df.select(by, order, y).groupBy(by).applyInPandas(one, f"{by} {kind}, step int, forecast double, alpha double, beta double, mae double, rmse double")

@@ -95,7 +95,8 @@ def hashed_terms(docs: DataFrame, id_col: str, bits: int = 18, text_col: str = "
 def vocabulary(docs: DataFrame, id_col: str, most: int, least_docs: int, text_col: str = "text") -> DataFrame:
     """Terms of one or two words without stop words: n, df and smooth idf of the `most` frequent that `least_docs` documents have."""
     t = docs.select(id_col, F.filter(word_tokens(F.col(text_col)), lambda x: ~x.isin(*STOP_WORDS)).alias("t"))
-    two = F.when(F.size("t") > 1, F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    two = F.when(F.size("t") > 1, F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a,
+        b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     each = t.select(id_col, F.explode(F.concat(F.col("t"), two)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("k"))
     f = each.groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("df")).where(F.col("df") >= least_docs)
     n = docs.agg(F.count("*").alias("n_docs"))  # one row

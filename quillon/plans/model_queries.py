@@ -66,7 +66,8 @@ def multi_class_boosted(spark, sf_dir):
 
 @query("aft_by_fold")
 def aft_by_fold(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 3 != 0).cast("int").alias("event"), (F.crc32(F.col("p_partkey").cast("string").cast("binary")) % 5).alias("fold"))
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("price"),
+        (F.col("p_partkey") % 3 != 0).cast("int").alias("event"), (F.crc32(F.col("p_partkey").cast("string").cast("binary")) % 5).alias("fold"))
     return M.aft_by_fold(p, ["price"], "p_size", "event", "fold", 5)
 
 
@@ -97,7 +98,8 @@ def isolation_forest(spark, sf_dir):
     return M.isolation_scores(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"])
 
 
-@query("knn_classify", """WITH d AS (SELECT q.vec_id AS q, t.vec_id AS i, t.label AS y, list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))) AS d FROM embeddings q JOIN embeddings t ON q.vec_id % 20 = 0 AND t.vec_id % 20 <> 0),
+@query("knn_classify",
+    """WITH d AS (SELECT q.vec_id AS q, t.vec_id AS i, t.label AS y, list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))) AS d FROM embeddings q JOIN embeddings t ON q.vec_id % 20 = 0 AND t.vec_id % 20 <> 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, i) AS r FROM d), v AS (SELECT q, y, count(*) AS n FROM k WHERE r <= 5 GROUP BY q, y) SELECT q AS vec_id, arg_min(y, (-n, y)) AS prediction FROM v GROUP BY q""")
 def knn_classify(spark, sf_dir):
     """Majority label of the five nearest vectors, for every vector whose id is divisible by 20."""
@@ -121,13 +123,15 @@ def pca_embed(spark, sf_dir):
 
 @query("aft_survival")
 def aft_survival(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 3 != 0).cast("int").alias("event"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("price"),
+        (F.col("p_partkey") % 3 != 0).cast("int").alias("event"))
     return M.aft(p, ["price"], "p_size", "event").select("p_partkey", F.round("prediction", 6).alias("prediction"))
 
 
 @query("ridge_held_out")
 def ridge_held_out(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("p_size"), F.col("p_partkey").cast("double").alias("k"), F.col("p_retailprice").alias("price"), (F.crc32(F.col("p_partkey").cast("string").cast("binary")) % 4).alias("fold"))
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("p_size"), F.col("p_partkey").cast("double").alias("k"),
+        F.col("p_retailprice").alias("price"), (F.crc32(F.col("p_partkey").cast("string").cast("binary")) % 4).alias("fold"))
     return M.ridge_held_out(p, ["p_size", "k"], "price", "fold", 4)
 
 

@@ -41,7 +41,8 @@ def runs(spark: SparkSession, path: str, approaches: list[str]) -> DataFrame:
 
     Longer approach names are tried first, as some begin with others.
     """
-    raw = spark.read.text(f"{path}/*/metrics.json", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run_id"), F.from_json("value", "map<string,map<string,double>>").alias("m"))
+    raw = spark.read.text(f"{path}/*/metrics.json", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"),
+        -2).alias("run_id"), F.from_json("value", "map<string,map<string,double>>").alias("m"))
     names = "|".join(sorted(approaches, key=len, reverse=True))
     parts = lambda k: F.regexp_extract("run_id", rf"^(.+)_({names})_([^_].*)$", k)
     return raw.select("run_id", parts(1).alias("model"), parts(2).alias("approach"), F.explode("m").alias("element", "metrics"))
@@ -72,7 +73,8 @@ def case_folders(files: DataFrame, path_col: str = "path") -> DataFrame:
     part = lambda k: F.regexp_extract("folder", "^([A-Z]+)_([A-Z]+)_(inv|dcis|invasive)$", k)
     kind = F.when(part(3) == "dcis", "dcis").otherwise("invasive")
     named = files.select(folder.alias("folder"), F.element_at(F.split(F.col(path_col), "/"), -1).alias("file")).where(part(1) != "")
-    return named.groupBy("folder").agg(F.count("*").alias("n_files"), F.array_join(F.array_sort(F.collect_set("file")), "|").alias("files")).select("folder", part(1).alias("surgeon"), part(2).alias("patient"), kind.alias("tumor_type"), "n_files", "files")
+    return named.groupBy("folder").agg(F.count("*").alias("n_files"), F.array_join(F.array_sort(F.collect_set("file")),
+        "|").alias("files")).select("folder", part(1).alias("surgeon"), part(2).alias("patient"), kind.alias("tumor_type"), "n_files", "files")
 
 
 def text_with_fallback(candidates: list[tuple[str, Column, int]]) -> tuple[Column, Column]:
