@@ -25,6 +25,10 @@ from quillon.llm.bytelevel import Vocabulary, printable_bytes
 from quillon.llm.common import map_text, table
 
 
+#: Characters whose new words are encoded together: the more, the fewer merges are applied one after the other.
+STRETCH_CHARS = 4_000_000
+
+
 class PairIndex:
     """Merges of one vocabulary, applied to many words at once."""
 
@@ -114,7 +118,7 @@ class PairIndex:
 class Codec:
     """Encodes and decodes texts with one vocabulary file. Words seen before are looked up, in bounded memory."""
 
-    def __init__(self, path: str, most_words: int = 80_000):
+    def __init__(self, path: str, most_words: int = 120_000):
         self.vocab = Vocabulary.load(path)
         self.pairs = PairIndex(self.vocab)
         specials = sorted(self.vocab.specials, key=len, reverse=True)
@@ -215,7 +219,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, outputs: tuple[str
 
         return f
 
-    return map_text(docs, T.StructType(fields), make, text_col=text_col, keep=(id_col,))
+    return map_text(docs, T.StructType(fields), make, text_col=text_col, keep=(id_col,), chunk=STRETCH_CHARS)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

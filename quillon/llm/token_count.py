@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from quillon.llm.bytelevel import Vocabulary, printable_bytes
 from quillon.llm.common import map_text, table
 
+#: Characters counted in one pass; pieces that are new in it are sorted, so that neighbours share states.
+STRETCH_CHARS = 4_000_000
 # Character classes of the splitter.
 LETTER, STMD, RV, ELL, EE, NUMBER, SPACE, WHITE, QUOTE, OTHER, END = range(11)
 # States of the splitter: nothing read; a contraction is complete; letters; digits; other signs; a lone quote at the start
@@ -293,7 +295,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 1024, id_
         return f
 
     schema = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    return map_text(docs, schema, make, text_col=text_col, keep=(id_col,))
+    return map_text(docs, schema, make, text_col=text_col, keep=(id_col,), chunk=STRETCH_CHARS)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
