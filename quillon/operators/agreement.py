@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.annotations import numeric_code
+from quillon.operators.ranges import quantiles
 
 
 def status(code: Column) -> Column:
@@ -52,7 +53,7 @@ def complexity_gap(wide: DataFrame) -> DataFrame:
     """Cases with at least the median number of present elements against the others: mean of AI minus human share."""
     ok = {k: F.sum(correct(F.col("source"), F.col(k))) for k in ("human", "ai")}
     x = wide.groupBy("case_id").agg(F.count_if(F.col("source") == 1).alias("n_present"), ok["human"].alias("h"), ok["ai"].alias("a"), F.count("*").alias("n"))
-    mid = x.agg(F.median("n_present").alias("mid"))  # one row
+    mid = quantiles(x, ["n_present"], [0.5]).select(F.col("q")[0].alias("mid"))  # one row
     kind = F.when(F.col("n_present") >= F.col("mid"), "complex").otherwise("simple")
     return x.join(F.broadcast(mid)).groupBy(kind.alias("complexity")).agg(F.count("*").alias("n_cases"), F.round(F.avg(F.col("a") / F.col("n") - F.col("h") / F.col("n")), 6).alias("mean_gap"))
 

@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.ranges import settled
-from quillon.operators.vectors import dot, norm
+from quillon.operators.vectors import close_pairs, norm
 
 
 def density_clusters(rows: DataFrame, id_col: str, vector: str, eps: float, least: int) -> DataFrame:
     """Per row: id and cluster (smallest id in it), -1 for noise. Cosine distance; a zero vector is near its equals only.
 
-    Equal vectors are one point with a weight: the neighbourhood join is over distinct vectors, whose number is bounded by
-    the patterns (3 ** dimensions for errors of -1, 0, 1), not by the rows. Labels spread until none changes.
+    Equal vectors are one point with a weight: the neighbourhood join is over distinct vectors, which meet in cells
+    (close_pairs). Labels spread until none changes.
     """
     points = rows.groupBy(F.col(vector).alias("v")).agg(F.min(id_col).alias("id"), F.count("*").alias("n"))
     points = settled(points)
-    b = points.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("n").alias("n2"))
-    sim = F.try_divide(dot(F.col("v"), F.col("v2")), norm(F.col("v")) * norm(F.col("v2")))
-    near = points.join(b, (F.col("id") == F.col("id2")) | (F.coalesce(sim, F.lit(0.0)) >= 1 - eps)).select("id", "id2", "n2")
+    unit = points.withColumn("_n", norm(F.col("v"))).where("_n > 0").select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
+    pairs = close_pairs(unit, 1 - eps).select("a", "b")
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(points.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    near = pairs.join(points.select(F.col("id").alias("b"), F.col("n").alias("n2")), "b").select(F.col("a").alias("id"), F.col("b").alias("id2"), "n2")
     near = settled(near)
     core = near.groupBy("id").agg(F.sum("n2").alias("w")).where(F.col("w") >= least).select("id")
     links = near.join(core, "id").join(core.select(F.col("id").alias("id2")), "id2").select("id", "id2")

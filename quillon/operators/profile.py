@@ -44,7 +44,8 @@ def value_counts(df: DataFrame, column: str, dropna: bool = False) -> DataFrame:
     """value, n and share of all; ties have no order of their own."""
     rows = df.where(F.col(column).isNotNull()) if dropna else df
     n = rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    whole = n.agg(F.sum("n").alias("_all"))  # one row
+    return n.join(F.broadcast(whole)).select("value", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
 
 
 def describe_categorical(df: DataFrame, columns: list[str]) -> DataFrame:

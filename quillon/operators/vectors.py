@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import word_tokens
+from quillon.operators.ranges import settled
 
 
 #: Directions along which similar_pairs() cuts.
@@ -104,29 +105,39 @@ def vocabulary(docs: DataFrame, id_col: str, most: int, least_docs: int, text_co
     return top.join(F.broadcast(n)).select("term", "n", "df", F.round(F.ln((1.0 + F.col("n_docs")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
 
 
-def similar_pairs(vectors: DataFrame, least: float, label: str, digits: int = 6) -> DataFrame:
-    """All pairs a < b of different labels with a cosine of `least` or more: (a, b, sim). Exact.
+def close_pairs(unit: DataFrame, least: float) -> DataFrame:
+    """All pairs a < b of unit vectors (id, v) with a cosine of `least` or more: (a, b, sim). Exact.
 
     Unit vectors of a cosine c are sqrt(2 - 2c) apart, and so, at most, are their projections on any direction. Vectors are
     cut into cells of that width along `_AXES` fixed random directions; a pair lies in the same or in neighbouring cells on
-    every axis, so one side is sent to the neighbours too and pairs meet in an equi-join on cells. Equal vectors are one.
+    every axis, so one side is sent to the neighbours too and pairs meet in an equi-join on cells.
     """
-    unit = vectors.select("vec_id", label, doubles(F.col("embedding")).alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
-    unit = unit.select("vec_id", label, F.transform("v", lambda x: x / F.col("n")).alias("v"))
     far = math.sqrt(2 - 2 * least) * (1 + 1e-9)
     size = unit.select(F.max(F.size("v"))).first()[0] or 0
     axes = np.linalg.qr(np.random.default_rng(3).normal(size=(max(size, _AXES), _AXES)))[0].T[:, :size].tolist()
     cells = [F.floor(dot(F.col("v"), F.array(*map(F.lit, a))) / far).cast("int") for a in axes]
-    celled = unit.select("vec_id", label, "v", F.array(*cells).alias("c"))
+    celled = unit.select("id", "v", F.array(*cells).alias("c"))
     around = celled
     for k in range(_AXES):
         near = F.array(*(F.array(*(F.col("c")[i] + (d if i == k else 0) for i in range(_AXES))) for d in (-1, 0, 1)))
         around = around.withColumn("c", F.explode(near))
-    a = celled.select(F.col("vec_id").alias("a"), F.col(label).alias("_la"), F.col("v").alias("_va"), "c")
-    b = around.select(F.col("vec_id").alias("b"), F.col(label).alias("_lb"), F.col("v").alias("_vb"), "c")
-    sim = dot(F.col("_va"), F.col("_vb"))
-    met = a.join(b, "c").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")))
-    return met.select("a", "b", sim.alias("sim")).where(F.col("sim") >= least).withColumn("sim", F.round("sim", digits))
+    a = celled.select(F.col("id").alias("a"), F.col("v").alias("_va"), "c")
+    b = around.select(F.col("id").alias("b"), F.col("v").alias("_vb"), "c")
+    met = a.join(b, "c").where(F.col("a") < F.col("b"))
+    return met.select("a", "b", dot(F.col("_va"), F.col("_vb")).alias("sim")).where(F.col("sim") >= least)
+
+
+def similar_pairs(vectors: DataFrame, least: float, label: str, digits: int = 6) -> DataFrame:
+    """All pairs a < b of different labels with a cosine of `least` or more: (a, b, n_a, n_b, sim).
+
+    Rows of equal vector and label are one class, named by its smallest id, of n rows: a vector that very many rows share is
+    compared once, and no link between different ones is lost. Zero vectors have no cosine.
+    """
+    classes = vectors.groupBy(doubles(F.col("embedding")).alias("v"), F.col(label).alias("label")).agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    classes = settled(classes.withColumn("_n", norm(F.col("v"))).where("_n > 0").select("id", "label", "n", F.transform("v", lambda x: x / F.col("_n")).alias("v")))
+    of = lambda k: classes.select(F.col("id").alias(k), F.col("label").alias(f"_l{k}"), F.col("n").alias(f"n_{k}"))
+    met = close_pairs(classes.select("id", "v"), least).join(of("a"), "a").join(of("b"), "b").where("_la <> _lb")
+    return met.select("a", "b", "n_a", "n_b", F.round("sim", digits).alias("sim"))
 
 
 def bleu(found: Column, truth: Column, most: int) -> Column:

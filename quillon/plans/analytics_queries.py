@@ -350,15 +350,16 @@ def tfidf_vocabulary(spark, sf_dir):
     return V.vocabulary(docs(spark, sf_dir), "doc_id", most=5000, least_docs=2)
 
 
-@query("similar_pairs_blocked", f"WITH n AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 1, list_transform(embedding, "
-    f"lambda x: CAST(x * 1.5 AS FLOAT)) FROM embeddings WHERE vec_id % 3 = 0) SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS sim "
-    f"FROM n a JOIN n b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE {_COS} >= 0.8")
+@query("similar_pairs_blocked", f"""WITH e AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 1, list_transform(embedding, lambda x: CAST(x * 1.5 AS FLOAT)) FROM embeddings WHERE vec_id % 3 = 0
+UNION ALL SELECT vec_id + 2000000, label, embedding FROM embeddings WHERE vec_id % 4 = 0), n AS (SELECT min(vec_id) AS vec_id, label, embedding, count(*) AS n FROM e GROUP BY label, embedding)
+SELECT a.vec_id AS a, b.vec_id AS b, a.n AS n_a, b.n AS n_b, round({_COS}, 6) AS sim FROM n a JOIN n b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE {_COS} >= 0.8""")
 def similar_pairs_blocked(spark, sf_dir):
-    """All pairs of different labels with a cosine of 0.8 or more, of vectors and scaled copies of some under other labels."""
+    """All pairs of different labels with a cosine of 0.8 or more, of vectors, scaled copies of some under other labels, and copies."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     copy = e.where("vec_id % 3 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), (F.col("label") + 1).alias("label"), F.transform("embedding",
         lambda x: (x * 1.5).cast("float")).alias("embedding"))
-    return V.similar_pairs(e.unionByName(copy), 0.8, "label")
+    same = e.where("vec_id % 4 = 0").withColumn("vec_id", F.col("vec_id") + 2000000)
+    return V.similar_pairs(e.unionByName(copy).unionByName(same), 0.8, "label")
 
 
 @query("knn_graph", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 "

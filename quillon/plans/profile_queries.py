@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import profile as P
+from quillon.operators.ranges import numbered
 from quillon.operators.annotations import CTE, domain_bridge
 from quillon.plans.annotation_queries import wide
 from quillon.plans.register import query
@@ -209,17 +210,24 @@ def prevalence_by_group(spark, sf_dir):
     return k.join(g, "p_brand").select("p_brand", "item", "k", F.round(F.col("k") / F.col("n"), 6).alias("prevalence"))
 
 
-@query("top_items_by_subtype", f"{_ITEMS}, t AS (SELECT item FROM i GROUP BY item ORDER BY count(*) DESC, item LIMIT 5) SELECT g.p_brand, t.item, count(i.item) AS k, "
-    f"round(count(i.item) / any_value(g.n), 6) AS prevalence FROM g CROSS JOIN t LEFT JOIN i ON i.p_brand = g.p_brand AND i.item = t.item "
-    f"GROUP BY g.p_brand, t.item")
+_SUBTYPE = "CASE WHEN p_partkey % 9 = 0 THEN '<missing>' ELSE p_brand END"
+
+
+@query("top_items_by_subtype", f"""WITH p AS (SELECT p_partkey, {_SUBTYPE} AS subtype, p_name FROM part), i AS (SELECT DISTINCT p_partkey, subtype, unnest(string_split(p_name, ' ')) AS item FROM p),
+g AS (SELECT subtype, count(*) AS n FROM p GROUP BY subtype), t AS (SELECT item FROM i GROUP BY item ORDER BY count(*) DESC, item LIMIT 5)
+SELECT g.subtype, t.item, count(i.item) AS k, round(count(i.item) / any_value(g.n), 6) AS prevalence
+FROM g CROSS JOIN t LEFT JOIN i ON i.subtype = g.subtype AND i.item = t.item GROUP BY g.subtype, t.item""")
 def top_items_by_subtype(spark, sf_dir):
-    """The five most common items in every group, 0 where a group has none: a top-k report."""
-    i = _items(spark, sf_dir)
+    """The five most common items in every group, 0 where a group has none; rows without a group are <missing>: a top-k report."""
+    brand = F.when(F.col("p_partkey") % 9 != 0, F.col("p_brand"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.coalesce(brand, F.lit("<missing>")).alias("subtype"), "p_name")
+    i = p.select("subtype", F.explode(F.array_distinct(F.split("p_name", " "))).alias("item"))
     top = i.groupBy("item").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "item").limit(5).select("item")
-    g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    grid = g.join(F.broadcast(top.agg(F.collect_list("item").alias("items")))).select("p_brand", "n", F.explode("items").alias("item"))  # one row of five
-    k = i.join(F.broadcast(top), "item", "left_semi").groupBy("p_brand", "item").agg(F.count("*").alias("k"))
-    return grid.join(k, ["p_brand", "item"], "left").select("p_brand", "item", F.coalesce("k", F.lit(0)).alias("k"), F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 6).alias("prevalence"))
+    g = p.groupBy("subtype").agg(F.count("*").alias("n"))
+    grid = g.join(F.broadcast(top.agg(F.collect_list("item").alias("items")))).select("subtype", "n", F.explode("items").alias("item"))  # one row of five
+    k = i.join(F.broadcast(top), "item", "left_semi").groupBy("subtype", "item").agg(F.count("*").alias("k"))
+    n = F.coalesce("k", F.lit(0))
+    return grid.join(k, ["subtype", "item"], "left").select("subtype", "item", n.alias("k"), F.round(n / F.col("n"), 6).alias("prevalence"))
 
 
 @query("top_k_per_group", "SELECT c_nationkey, c_custkey, round(c_acctbal, 2) AS c_acctbal, rn AS place FROM (SELECT *, row_number() "
@@ -264,6 +272,6 @@ def cohort_rate_gap(spark, sf_dir):
 def label_encode_one_hot(spark, sf_dir):
     """Codes by sorted value come from the distinct values, so no global window runs over the rows."""
     p = table(spark, sf_dir, "part")
-    codes = p.select("p_type").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("p_type")) - 1)
+    codes = p.select("p_type").distinct().transform(lambda d: numbered(d, ["p_type"], "code")).withColumn("code", F.col("code") - 1)
     hot = [F.when(F.col("p_brand") == b, 1).otherwise(0).alias(f"brand_{b[6:]}") for b in BRANDS]
     return p.join(codes, "p_type").select("p_partkey", "code", *hot)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import relational as R
-from quillon.operators.ranges import numbered
+from quillon.operators.ranges import numbered, quantiles
 from quillon.plans.register import query
 from quillon.sources.tables import table
 
@@ -77,7 +77,7 @@ def join_deduped_dimension(spark, sf_dir):
 @query("scalar_threshold", "SELECT p_partkey, p_retailprice < (SELECT quantile_cont(p_retailprice, 0.1) FROM part) AS cheap FROM part")
 def scalar_threshold(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    t = p.agg(F.percentile("p_retailprice", 0.1).alias("t"))  # one row
+    t = quantiles(p, ["p_retailprice"], [0.1]).select(F.col("q")[0].alias("t"))  # one row
     return p.join(F.broadcast(t)).select("p_partkey", (F.col("p_retailprice") < F.col("t")).alias("cheap"))
 
 

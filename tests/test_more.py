@@ -157,7 +157,8 @@ def test_similar_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 6))
     rows = [(i, int(i % 3), (base[i % 40] + rng.normal(size=6) * 0.25).tolist()) for i in range(160)] + [(900, 0, [0.0] * 6)]
-    got = {(x.a, x.b): x.sim for x in vectors.similar_pairs(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), 0.8, "label").collect()}
+    copies = [(5000 + i, rows[0][1], rows[0][2]) for i in range(50)]
+    got = {(x.a, x.b): x.sim for x in vectors.similar_pairs(spark.createDataFrame(rows + copies, "vec_id long, label int, embedding array<double>"), 0.8, "label").collect()}
     unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows if any(v)}
     want = {(i, j): float(unit[i] @ unit[j]) for i, a, _ in rows for j, b, _ in rows if i < j and a != b and i in unit and j in unit and unit[i] @ unit[j] >= 0.8}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items()) and len(want) > 100
