@@ -5,6 +5,8 @@ Statistics of many columns come from one pass: aggregates are packed into an arr
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,3 +144,8 @@ def role_of(name: str) -> str:
         if part in name:
             return role
     return "attribute"
+
+
+def label_of(name: str) -> str:
+    """A column's name as words: without a short prefix, underscores as spaces."""
+    return re.sub(r"^[a-z]{1,2}_", "", name).replace("_", " ")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -76,3 +78,51 @@ def holt(df: DataFrame, by: str, order: str, y: str, steps: int = 3) -> DataFram
 
     kind = df.schema[by].dataType.simpleString()
     return df.select(by, order, y).groupBy(by).applyInPandas(one, f"{by} {kind}, step int, forecast double, alpha double, beta double, mae double, rmse double")
+
+
+def arma_fit(x: np.ndarray) -> tuple[float, float, float, float, float, float]:
+    """phi, theta, variance, log-likelihood, last error and its relative variance of a zero-mean ARMA(1, 1), by exact likelihood.
+
+    Errors come from the innovations recursion, the variance in closed form; phi and theta from a grid that is refined.
+    """
+
+    def likelihood(phi: float, theta: float):
+        guess, v, total, logs, e = 0.0, (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi), 0.0, 0.0, 0.0
+        for value in x:
+            e, last = value - guess, v
+            total += e * e / v
+            logs += math.log(v)
+            guess = phi * value + theta * e / v
+            v = 1 + theta * theta - theta * theta / v
+        var = max(total / len(x), 1e-300)
+        return -0.5 * (len(x) * (math.log(2 * math.pi * var) + 1) + logs), var, guess
+
+    best, at, width = -math.inf, (0.0, 0.0), 0.24
+    points = [(p, t) for p in np.arange(-0.96, 0.97, 0.24) for t in np.arange(-0.96, 0.97, 0.24)]
+    for _ in range(14):
+        for p, t in points:
+            if abs(p) < 0.999 and abs(t) < 0.999 and (ll := likelihood(p, t)[0]) > best:
+                best, at = ll, (float(p), float(t))
+        width /= 2
+        points = [(at[0] + i * width, at[1] + j * width) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    ll, var, guess = likelihood(*at)
+    return (*at, var, ll, guess, len(x))
+
+
+def arima(df: DataFrame, by: str, order: str, y: str, steps: int = 3, least: int = 8) -> DataFrame:
+    """ARIMA(1, 1, 1) without a constant: forecasts, AIC and BIC of each series of `least` values or more.
+
+    A group is one series and is fitted in one task; build series by aggregation first.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(order)[y].dropna().to_numpy(float)
+        if len(v) < least:
+            none = np.empty(0)
+            return pd.DataFrame({by: pdf[by].iloc[:0], "step": none.astype("int32"), "forecast": none, "aic": none, "bic": none})
+        phi, _, _, ll, guess, n = arma_fit(np.diff(v))
+        change = guess * phi ** np.arange(steps)
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * steps, "step": range(1, steps + 1), "forecast": (v[-1] + np.cumsum(change)).round(4), "aic": round(6 - 2 * ll, 2), "bic": round(3 * math.log(n) - 2 * ll, 2)})
+
+    kind = df.schema[by].dataType.simpleString()
+    return df.select(by, order, y).groupBy(by).applyInPandas(one, f"{by} {kind}, step int, forecast double, aic double, bic double")

@@ -157,6 +157,11 @@ def holt_forecast(spark, sf_dir):
     return S.holt(daily(spark, sf_dir), "event_type", "day", "y")
 
 
+@query("arima_forecast")
+def arima_forecast(spark, sf_dir):
+    return S.arima(daily(spark, sf_dir), "event_type", "day", "y")
+
+
 @query("feasibility", f"{DAILY} SELECT event_type, count(y) AS n, CASE WHEN count(y) < 3 THEN 'too short' WHEN count(y) < 8 THEN 'trend only' "
     f"ELSE 'feasible' END AS verdict, stddev_samp(y) / nullif(avg(y), 0) > 0.2 AS unsteady FROM s GROUP BY event_type")
 def feasibility(spark, sf_dir):
@@ -404,3 +409,24 @@ def gated_extraction(spark, sf_dir):
     said = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("grp"), F.col("c_nationkey").alias("n_nationkey")).join(F.broadcast(names), "n_nationkey")
     leaf = O.leaves(_nodes(spark, sf_dir)).where("layer = 2").select("child", "parent")
     return O.gated(said, leaf, "grp", "n_name", "r_name")
+
+
+_AGENT = "Use the retrieved context to answer the question. Context: {context} Question: {question} If it is not in the context, say so."
+
+
+@query("agent_graph_dry_run", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS k FROM s), c AS (SELECT query_id, string_agg('document ' || vec_id, '; ' ORDER BY k) AS context FROM k WHERE k <= 3 GROUP BY query_id)
+SELECT query_id, 'agent>retrieve>generate' AS path, md5(replace(replace('{_AGENT}', '{{context}}', context), '{{question}}', 'What is ' || query_id || '?')) AS prompt_md5, 'not stated' AS answer FROM c""")
+def agent_graph_dry_run(spark, sf_dir):
+    """Agent, retrieval and generation as steps over a table of questions; the provider answers without a model."""
+    from quillon.sources.files import dry_run, provider_map
+
+    e = table(spark, sf_dir, "embeddings")
+    top = V.top_k(V.all_pairs_in_blocks(e, e.where("vec_id % 20 = 0")), 3)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "vec_id"))), lambda s: F.concat(F.lit("document "), s["vec_id"].cast("string")))
+    retrieved = top.groupBy("query_id").agg(F.array_join(parts, "; ").alias("context"))
+    question = F.concat(F.lit("What is "), F.col("query_id").cast("string"), F.lit("?"))
+    prompt = F.replace(F.replace(F.lit(_AGENT), F.lit("{context}"), F.col("context")), F.lit("{question}"), question)
+    asked = retrieved.select(F.col("query_id").cast("string").alias("case_id"), F.lit("answer").alias("element"), prompt.alias("prompt"))
+    said = provider_map(asked, dry_run).select("case_id", F.get_json_object("raw_response", "$.value").alias("answer"))
+    return asked.join(said, "case_id").select(F.col("case_id").cast("long").alias("query_id"), F.lit("agent>retrieve>generate").alias("path"), F.md5("prompt").alias("prompt_md5"), "answer")

@@ -60,7 +60,9 @@ def variable_catalogue(spark, sf_dir):
 
 
 @query("data_dictionary", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{r}' AS role, '{t}' AS data_type, CASE WHEN count(DISTINCT {c}) <= 10 THEN string_agg(DISTINCT CAST({c} "
-    f"AS VARCHAR), '|' ORDER BY CAST({c} AS VARCHAR)) ELSE '' END AS valid_values FROM orders" for c, t, r in ORDER_COLS))
+    f"AS VARCHAR), '|' ORDER BY CAST({c} AS VARCHAR)) ELSE '' END AS valid_values, "
+    f"'{P.label_of(c)}' AS label, 'The {r} {P.label_of(c)} of an order.' AS description, CASE WHEN count(*) > count({c}) THEN 'NULL' ELSE '' END AS missing_code, "
+    f"CASE WHEN count(DISTINCT {c}) = count(*) THEN 'unique' WHEN count(DISTINCT {c}) = 1 THEN 'constant' ELSE '' END AS notes FROM orders" for c, t, r in ORDER_COLS))
 def data_dictionary(spark, sf_dir):
     """Values are listed where a column has few; how many is known before any are gathered."""
     orders = table(spark, sf_dir, "orders")
@@ -68,7 +70,15 @@ def data_dictionary(spark, sf_dir):
     text = lambda c: F.col(c).cast("string")
     listed = {c: F.array_sort(F.collect_set(text(c))) for c in few}
     valid = lambda c: F.when(F.size(listed[c]) <= 10, F.array_join(listed[c], "|")).otherwise("") if c in few else F.max(F.lit(""))
-    return P.per_column(orders, orders.columns, lambda c: {"role": F.max(F.lit(P.role_of(c))), "data_type": F.max(F.lit(P.kind_of(orders.schema[c].dataType))), "valid_values": valid(c)})
+    n = F.count("*")
+
+    def described(c: str) -> dict:
+        role, label = P.role_of(c), P.label_of(c)
+        notes = F.when(F.count_distinct(c) == n, "unique").when(F.count_distinct(c) == 1, "constant").otherwise("")
+        text = {"label": label, "description": f"The {role} {label} of an order."}
+        return {**{k: F.max(F.lit(v)) for k, v in text.items()}, "missing_code": F.when(n > F.count(c), "NULL").otherwise(""), "notes": notes}
+
+    return P.per_column(orders, orders.columns, lambda c: {"role": F.max(F.lit(P.role_of(c))), "data_type": F.max(F.lit(P.kind_of(orders.schema[c].dataType))), "valid_values": valid(c), **described(c)})
 
 
 @query("dataset_metadata", "SELECT 'n_rows' AS item, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'n_columns', '6' UNION ALL "

@@ -265,6 +265,28 @@ def test_resume_dispatch_and_json(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o.json")).count() == 3
 
 
+def test_arima(spark):
+    """Errors' likelihood against a dense multivariate normal; the forecast of an AR(1) of differences decays towards a level."""
+    from quillon.operators.series import arima, arma_fit
+
+    rng = np.random.default_rng(12)
+    e = rng.normal(size=300)
+    x = np.zeros(300)
+    for t in range(1, 300):
+        x[t] = 0.6 * x[t - 1] + e[t] + 0.3 * e[t - 1]
+    phi, theta, var, ll, _, _ = arma_fit(x)
+    assert abs(phi - 0.6) < 0.15 and abs(theta - 0.3) < 0.2 and 0.8 < var < 1.2
+    gamma = [var * (1 + 2 * phi * theta + theta**2) / (1 - phi**2), var * (1 + phi * theta) * (phi + theta) / (1 - phi**2)]
+    while len(gamma) < 300:
+        gamma.append(phi * gamma[-1])
+    cov = np.array([[gamma[abs(i - j)] for j in range(300)] for i in range(300)])
+    dense = -0.5 * (300 * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + x @ np.linalg.solve(cov, x))
+    assert ll == pytest.approx(dense, rel=1e-6)
+    rows = [("a", i, float(v)) for i, v in enumerate(np.cumsum(x))] + [("b", i, 1.0 * i) for i in range(5)]
+    got = arima(spark.createDataFrame(rows, "g string, t long, y double"), "g", "t", "y").collect()
+    assert [(r.g, r.step) for r in got] == [("a", 1), ("a", 2), ("a", 3)] and got[0].bic > got[0].aic
+
+
 def test_sgml_of_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.sgm").write_text("<DOC id=1><TITLE>one</TITLE></DOC>\n<DOC><TITLE>two</TITLE></DOC>")
