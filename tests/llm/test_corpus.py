@@ -465,6 +465,7 @@ def test_toxicity_of_unseen_words(spark):
         cut = [toxicity.spelled(" " + " ".join(w[p : p + 8]) + " ") for p in at]
         gain = [len(plain.compress(c)) - len(both.compress(c)) for c in cut]
         assert (got[i].n_windows, got[i].n_some, got[i].n_sure, got[i].gain) == (len(cut), sum(g >= m.least[0] for g in gain), sum(g >= m.least[1] for g in gain), max([0, *gain]))
+        assert got[i].total == sum(g for g in gain if g >= m.least[0])
 
 
 def test_toxicity_edges(spark):
