@@ -52,7 +52,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = (spark, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Drop what materialize() wrote for these tables: nothing reads them any more."""
+    for t in tables:
+        _drop(*t._scratch)
+        _scratch.remove(t._scratch)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import give_back, map_text, materialize, small_batches, table, text_chunks
+from quillon.llm.common import give_back, map_text, materialize, release, small_batches, table, text_chunks
 from quillon.llm.words import NONSPACE, SuffixAutomaton, Words, mixed, runs
 
 WINDOW = 50
@@ -273,6 +273,7 @@ def repeated_passages(docs: DataFrame, *, window: int = WINDOW, anchor: int = AN
     shared = materialize(own.groupBy("a").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("a"), "shared")
     marked = materialize(own.join(shared, "a").groupBy("id", "digest").agg(F.collect_list("a").alias("mark")), "marked")
     spans = materialize(_spans(_marked(named, marked), window, anchor), "spans")
+    release(own, shared, marked)
     least = materialize(spans.groupBy("a", "g").agg(F.min("id").alias("least")), "least-spans")
     judged = spans.join(least, ["a", "g"])
     whole = judged.where("least < id").select("id", "digest", "s", (F.col("s") + F.size("windows") - 1 + window).alias("e"))
@@ -281,7 +282,9 @@ def repeated_passages(docs: DataFrame, *, window: int = WINDOW, anchor: int = AN
     again = materialize(single.groupBy("a", "w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "w"), "repeated-windows")
     starts = single.join(again, ["a", "w"]).groupBy("id", "digest", "a").agg(F.collect_list("s").alias("starts"))
     starts = materialize(starts.groupBy("id", "digest").agg(F.collect_list(F.struct("a", "starts")).alias("mark")), "starts")
+    release(single, again)
     found = materialize(_runs(_marked(named, starts), window), "runs")
+    release(starts)
     of_run = materialize(found.groupBy("a", "g").agg(F.min("id").alias("least"), F.min("text").alias("text")), "shards")
     large = of_run.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("a")
     large = materialize(large, "large-anchors")
