@@ -222,7 +222,7 @@ def test_classifiers_beat_chance(spark):
     assert said.count() == 100
 
 
-def test_anova_free_queries_have_rows(spark, sf_dir):
+def test_queries_have_rows(spark, sf_dir):
     for name in ("isolation_forest", "svd_embed", "cluster_sizes", "recursive_chunks", "paired_metric_tests"):
         assert reference_queries()[name](spark, sf_dir).count() > 0, name
 
