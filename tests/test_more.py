@@ -315,3 +315,6 @@ def test_holt_is_per_series(spark):
     rows = [(g, i, 10.0 + i * s) for g, s in (("a", 2.0), ("b", -1.0)) for i in range(12)]
     got = holt(spark.createDataFrame(rows, "g string, t long, y double"), "g", "t", "y").toPandas()
     assert set(got["g"]) == {"a", "b"} and isinstance(got, pd.DataFrame)
+    for g, s in (("a", 2.0), ("b", -1.0)):  # a straight line goes on
+        one_of = got[got["g"] == g].sort_values("step")
+        assert one_of.forecast.tolist() == pytest.approx([10 + s * (11 + k) for k in (1, 2, 3)]) and one_of.mae.max() == 0
