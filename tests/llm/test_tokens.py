@@ -58,6 +58,8 @@ def test_rows(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in n) == [(1, 0, 0, False), (2, 0, 0, False), (2, 0, 0, False), (3, 3, 2, False)]
     e = encode_documents(rows, WORD).collect()
     assert sorted((r.doc_id, r.n_tokens, len(r.ids)) for r in e) == [(1, 0, 0), (2, 0, 0), (2, 0, 0), (3, 2, 2)]
+    none = rows.selectExpr("cast(null as long) as doc_id", "text", "'x' as ids", "1 as n_bytes")  # null ids, clashing names
+    assert sorted(r.n_tokens for r in token_counts(none, BYTE).collect()) == [0, 0, 0, 2] == sorted(len(r.ids) for r in encode_documents(none, WORD).collect())
     assert token_counts(rows.limit(0), BYTE).count() == 0 == encode_documents(rows.limit(0), WORD).count()
 
 
