@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.evaluation import auc_brier
+from quillon.operators.nearest import nearest
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -236,16 +237,11 @@ def isolation_scores(df: DataFrame, id_col: str, columns: list[str], trees: int
 def nearest_neighbours(train: DataFrame, test: DataFrame, id_col: str, columns: list[str], label: str, k: int) -> DataFrame:
     """Majority label of the k nearest training rows (Euclidean; ties by id, then by the smaller label) for each row of test.
 
-    test is a stated set of queries: it travels in blocks, each training row meets a block at a time, and of each block's
-    distances only the k smallest leave a partition's aggregation.
+    test is a stated set of queries. Rows with a null among the columns are no one's neighbours before all others.
     """
-    vec = lambda: F.array(*(F.col(c).cast("double") for c in columns))
-    q = test.select(F.col(id_col).alias("q"), vec().alias("qv"))
-    blocks = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(8)).alias("block")).agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    t = train.select(F.col(id_col).alias("i"), F.col(label).alias("y"), vec().alias("v"))
-    d = F.transform("qs", lambda s: F.struct(s["q"].alias("q"), F.aggregate(F.zip_with(s["qv"], F.col("v"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x).alias("d")))
-    met = t.join(blocks).select("i", "y", F.explode(d).alias("s")).select("i", "y", "s.*")  # a stated query set, in blocks
-    w = Window.partitionBy("q").orderBy("d", "i")
-    near = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    whole = F.array(*(F.col(c).cast("double") for c in columns))
+    v = F.when(~F.exists(whole, lambda x: x.isNull()), whole)
+    met = nearest(train.select(F.col(id_col).alias("id"), F.col(label).alias("y"), v.alias("v")), test.select(F.col(id_col).alias("id"), v.alias("v")), k, cosine=False, but_itself=False)
+    near = met.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k)
     votes = near.groupBy("q", "y").agg(F.count("*").alias("n"))
     return votes.groupBy("q").agg(F.min_by("y", F.struct(-F.col("n"), F.col("y"))).alias("prediction")).withColumnRenamed("q", id_col)

@@ -67,3 +67,17 @@ def test_close_pairs_of_odd_vectors(spark, small_blocks):
     of = {i: (y, np.array(v, float)) for i, y, v in rows if v and any(v)}
     want = {(a, b): s for a in of for b in of if a < b and of[a][0] != of[b][0] and (s := float(of[a][1] @ of[b][1] / np.linalg.norm(of[a][1]) / np.linalg.norm(of[b][1]))) >= 0.6}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want) and len(want) > 300
+
+
+def test_nearest_neighbours(spark, small_blocks):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i == 7 else int(rng.integers(3)), *map(float, rng.integers(0, 4, 2))) for i in range(400)] + [(500, 1, None, 0.0)]
+    df = spark.createDataFrame(rows, "i long, y int, a double, b double")
+    got = models.nearest_neighbours(df.where("i % 20 <> 0"), df.where("i % 20 = 0 and i < 500"), "i", ["a", "b"], "y", 5)
+    assert "Generate" not in plan(got)
+    train = [r for r in rows if r[0] % 20 and r[2] is not None]
+    for r in got.collect():
+        _, _, a, b = rows[r.i]
+        near = [t[1] for t in sorted(train, key=lambda t: ((t[2] - a) ** 2 + (t[3] - b) ** 2, t[0]))[:5]]
+        assert r.prediction == min((y for y in near if y is not None), key=lambda y: (-near.count(y), y))
+    assert got.count() == 20
