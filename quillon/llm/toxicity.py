@@ -5,21 +5,21 @@ of `WIDTH` words, each compressed twice: with the ordinary dictionary, and with
 the toxic dictionary saves are the window's gain. Ordinary prose gains nothing, as its matches stay the same; a window
 with toxic words, or with forms of them that were never seen, gains the matches that ordinary text doesn't offer.
 
-*Training text.* Ordinary text is any text of the sample with label 0. Toxic documents are mostly ordinary prose too, so
+*Training text.* Ordinary text is any text with label 0. Toxic documents are mostly ordinary prose too, so
 what is toxic in them is found first: character n-grams (`GRAMS`) that far more toxic than ordinary documents have, the
 most telling first, each judged on words that no earlier one explains. The words around them, document by document, are
-what the toxic dictionary is trained on. Runs of `REPEAT` words that an earlier document of the sample has teach nothing,
-so copies of a document count once.
+what the toxic dictionary is trained on. Pieces of `REPEAT` words and more that another document has teach nothing a second
+time, so copies of a document count once. Ordinary windows are all used: parts of them make dictionaries, which are merged.
 
 *Score.* Two thresholds on gains are quantiles over ordinary windows (`QUANTILES`). A logistic model over the numbers of
 windows beyond either, their total and largest gain and the number of windows gives the score. Thresholds and model are fitted on
-documents that the dictionaries have not seen, weighted back to the share of toxic ones among all labelled documents.
+documents that the dictionaries have not seen.
 
 zstandard saves nothing on a match of a few bytes, so a character is spelled as `SPELL` fixed pseudo-random bytes.
 
-Fitting reads a bounded sample of the labelled rows: about `PER_LABEL` of each label, chosen by a hash of the id, and for
-the dictionaries at most `SAMPLE_WORDS` consecutive words of each. `FIT_SHARE` of the sample gives the dictionaries, the
-rest thresholds and scores. Scoring reads whole texts.
+Fitting reads every labelled row and whole texts. By a hash of the id, `FIT_SHARE` of the rows give the dictionaries, the
+rest thresholds and scores. Counts are made in tables; the driver gets telling n-grams, the words that have them, those words
+of each toxic document, a dictionary, and seven numbers for each document of the rest.
 
 Null, empty and blank texts have no windows and get the score for none. Repeated rows are scored, and learned from, one
 by one. An id that is labelled both 0 and 1 is left out of the fit, as are null labels. Without labelled documents of
@@ -28,27 +28,29 @@ both kinds every score is 0; without telling n-grams it is the share of toxic do
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import doc_bucket, map_text, materialize, table
+from quillon.llm.common import doc_bucket, drop_since, map_text, mark, materialize, table
 from quillon.llm.words import mixed, runs
 
-PER_LABEL = 4000
-SAMPLE_WORDS = 1000
 FIT_SHARE = 0.85
 WIDTH, STEP = 8, 4
 SPELL = 2
 #: Bytes of the dictionaries at most.
 ORDINARY_BYTES, TOXIC_BYTES = 60_000, 30_000
-#: Ordinary windows, evenly spread over the sample, that a dictionary is trained on (up to twice as many).
-TRAINING_WINDOWS = 50_000
+#: Ordinary windows that one dictionary is trained on, about; dictionaries that are merged at once.
+TRAINING_WINDOWS, _MERGED = 50_000, 64
 GRAMS = range(4, 9)
 REPEAT = 8
 #: About a million n-grams are tested: so many standard deviations happen by chance in 2 of 100 million tests.
@@ -147,33 +149,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, decay: float = 0.3) -
     return b
 
 
-class _Sample:
-    """Documents of the sample as word numbers, without what an earlier document has too."""
-
-    def __init__(self, texts: list[str]):
-        number: dict[str, int] = {}
-        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int64) for t in texts]
-        self.words = list(number)
-        flat = np.concatenate(self.docs) if self.docs else np.empty(0, np.int64)
-        owner = np.repeat(np.arange(len(self.docs)), [len(d) for d in self.docs])
-        if len(flat) >= REPEAT:
-            run = runs(mixed(flat.astype(np.uint64)), REPEAT)
-            whole = owner[: len(run)] == owner[REPEAT - 1 :]
-            _, first, back = np.unique(run, return_index=True, return_inverse=True)
-            again = np.flatnonzero(whole & (owner[first][back] != owner[: len(run)]))
-            gone = np.zeros(len(flat) + 1, np.int64)
-            np.add.at(gone, again, 1)
-            np.add.at(gone, again + REPEAT, -1)
-            stay = np.cumsum(gone[:-1]) == 0
-            bounds = np.cumsum([len(d) for d in self.docs])[:-1]
-            self.docs = [d[s] for d, s in zip(self.docs, np.split(stay, bounds))]
-
-    def counts(self, which: np.ndarray) -> np.ndarray:
-        """In how many of the documents `which` each word is."""
-        out = np.zeros(len(self.words), np.int64)
-        for i in np.flatnonzero(which).tolist():
-            out[np.unique(self.docs[i])] += 1
-        return out
+def pieces(words: list[str]) -> tuple[list[int], list[int]]:
+    """Ends of pieces of a text, and a fingerprint of each.
+
+    A piece has REPEAT words at least and ends at a word that its own hash picks, so copies of a passage have the same pieces
+    but for the first and last.
+    """
+    ends, last = [], 0
+    for i, w in enumerate(words, 1):
+        if i - last >= REPEAT and zlib.crc32(w.encode("utf-8", "surrogatepass")) % 4 == 0:
+            ends.append(last := i)
+    if last < len(words):
+        ends.append(len(words))
+    cut = [" ".join(words[a:b]).encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+    return ends, [int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True) for c in cut]
+
+
+def unrepeated(rows: DataFrame) -> DataFrame:
+    """Rows (y, t) as (k, y, s): the words of t in lower case, without pieces that a row of smaller k, a hash of the row, has too."""
+    rows = rows.withColumn("k", F.xxhash64("i", "t"))
+    made = lambda: lambda texts: {"p": [pieces(t.lower().split())[1] for t in texts]}
+    each = map_text(rows, T.StructType([T.StructField("p", T.ArrayType(T.LongType()))]), made, text_col="t", keep=("k",))
+    each = materialize(each.select("k", F.explode(F.array_distinct("p")).alias("p")), "toxicity-pieces")
+    shared = each.groupBy("p").agg(F.min("k").alias("f"), F.max("k").alias("l")).where("f < l").select("p", "f")
+    gone = each.join(shared, "p").where("k > f").groupBy("k").agg(F.collect_set("p").alias("gone"))
+
+    def kept():
+        def f(texts: list[str]) -> dict[str, list]:
+            out = []
+            for both in texts:
+                listed, _, t = both.partition("\n")
+                words, gone = t.lower().split(), set(map(int, listed.split()))
+                ends, marks = pieces(words) if gone else ([len(words)], [0])
+                out.append(" ".join(w for a, b, m in zip([0, *ends], ends, marks) if m not in gone for w in words[a:b]))
+            return {"s": out}
+
+        return f
+
+    sent = rows.join(gone, "k", "left").select("k", "y", F.concat(F.coalesce(F.array_join(F.col("gone").cast("array<string>"), " "), F.lit("")), F.lit("\n"), "t").alias("t"))
+    return materialize(map_text(sent, T.StructType([T.StructField("s", T.StringType())]), kept, text_col="t", keep=("k", "y")), "toxicity-words")
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,8 +206,11 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own[new], gram[new]
 
 
-def toxic_words(a: np.ndarray, b: np.ndarray, words: list[str], n1: int, n0: int) -> np.ndarray:
-    """Which words have a telling n-gram. a, b: the toxic and ordinary documents with each word, of n1 and n0."""
+def toxic_words(a: np.ndarray, b: np.ndarray, words: list[str], n1: int, n0: int, known: np.ndarray) -> np.ndarray:
+    """Which words have a telling n-gram. a, b: the toxic and ordinary documents with each word, of n1 and n0.
+
+    known: the n-grams that tell among all words, sorted; words are all that have one of them.
+    """
 
     def z(k, m):
         k, m = np.minimum(k, n1), np.minimum(m, n0)
@@ -202,13 +219,10 @@ def toxic_words(a: np.ndarray, b: np.ndarray, words: list[str], n1: int, n0: int
         return np.where((k >= 3) & (k / n1 > LEAST_RATIO * (m + 0.5) / n0), out, 0.0)
 
     found = np.zeros(len(words), bool)
-    some = np.flatnonzero(a > 0)
-    if not len(some):
-        return found
     parts = [range(i, min(i + _PART, len(words))) for i in range(0, len(words), _PART)]
-    at_toxic = np.empty(0, np.uint64)
-    for part in np.array_split(some, len(some) // _PART + 1):
-        at_toxic = np.union1d(at_toxic, _grams([words[i] for i in part.tolist()])[1])
+    at_toxic = known
+    if not len(words) or not len(known):
+        return found
 
     def placed(part: range) -> tuple[np.ndarray, np.ndarray]:
         own, gram = _grams([words[i] for i in part])
@@ -246,28 +260,79 @@ def toxic_words(a: np.ndarray, b: np.ndarray, words: list[str], n1: int, n0: int
     return found
 
 
-def dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary; the toxic one is empty where no n-gram is telling."""
-    y = np.array(toxic, bool)
-    sample = _Sample(texts)
-    found = toxic_words(sample.counts(y), sample.counts(~y), sample.words, int(y.sum()), int((~y).sum()))
-    if not found.any():
+def _found_words(clean: DataFrame, n1: int, n0: int) -> list[str]:
+    """The words with a telling n-gram: document counts of all words, then of all their n-grams, in tables."""
+    each = clean.select("y", F.explode(F.array_distinct(F.split("s", " "))).alias("w")).where("w <> ''")
+    words = materialize(each.groupBy("w").agg(F.sum("y").cast("long").alias("a"), F.sum(1 - F.col("y")).cast("long").alias("b")), "toxicity-vocabulary")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PART):
+                some = batch.slice(at, _PART)
+                own, gram = _grams(some.column(0).to_pylist())
+                g, place = np.unique(gram, return_inverse=True)
+                a, b = (np.bincount(place, weights=some.column(c).to_numpy()[own], minlength=len(g)).astype(np.int64) for c in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(a), pa.array(b)], names=["g", "a", "b"])
+
+    sums = words.mapInArrow(grams, "g long, a long, b long").groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    k, m = F.least("a", F.lit(n1)) / 1.0, F.least("b", F.lit(n0)) / 1.0
+    p = (k + m) / (n1 + n0)
+    z = (k / n1 - m / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    telling = sums.where((F.col("a") >= 3) & (k / n1 > LEAST_RATIO * (m + 0.5) / n0)).where(z > LEAST_Z).select("g").toArrow()  # a few thousand
+    known = np.sort(telling.column("g").to_numpy().view(np.uint64))
+    if not len(known):
+        return []
+    sent = clean.sparkSession.sparkContext.broadcast(known)
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PART):
+                some = batch.slice(at, _PART)
+                own, gram = _grams(some.column(0).to_pylist())
+                yield some.take(pa.array(np.unique(own[np.isin(gram, sent.value)])))
+
+    rows = sorted(map(tuple, words.mapInArrow(having, words.schema).collect()))
+    names = [r[0] for r in rows]
+    found = toxic_words(np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), names, n1, n0, known)
+    return [w for w, yes in zip(names, found) if yes]
+
+
+def _ordinary(clean: DataFrame) -> bytes:
+    """A dictionary of all ordinary windows: of each part of TRAINING_WINDOWS or so, then of up to _MERGED dictionaries' contents at a time."""
+    total = clean.agg(F.sum(F.size(F.split("s", " ")))).first()[0] or 0
+    n = max(1, int(total) // (TRAINING_WINDOWS * WIDTH))
+
+    def part(t: pa.Table) -> pa.Table:
+        docs = [x.split() for _, x in sorted(zip(t.column("k").to_pylist(), t.column("s").to_pylist()))]
+        good = [spelled(f" {' '.join(d[i : i + WIDTH])} ") for d in docs for i in range(0, len(d), WIDTH)]
+        return pa.table({"n": [t.column("n")[0].as_py()], "d": pa.array([trained(good, ORDINARY_BYTES)], pa.binary())})
+
+    def merge(t: pa.Table) -> pa.Table:
+        got = [d for _, d in sorted(zip(t.column("m").to_pylist(), t.column("d").to_pylist()))]
+        cut = [d[i : i + 24 * SPELL] for d in got for i in range(0, len(d), 24 * SPELL)]
+        return pa.table({"n": [t.column("n")[0].as_py()], "d": pa.array([trained(cut, ORDINARY_BYTES) if len(got) > 1 else got[0]], pa.binary())})
+
+    found = clean.withColumn("n", F.pmod("k", F.lit(n))).groupBy("n").applyInArrow(part, "n long, d binary")
+    while n > 1:
+        found, n = materialize(found, "toxicity-dictionaries"), -(-n // _MERGED)
+        found = found.select(F.col("n").alias("m"), F.floor(F.col("n") / _MERGED).alias("n"), "d").groupBy("n").applyInArrow(merge, "n long, d binary")
+    return bytes(found.first().d)
+
+
+def dictionaries(rows: DataFrame) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of all rows (i, y, t); the toxic one is empty where no n-gram is telling."""
+    clean = unrepeated(rows)
+    sizes = {r.y: r.n for r in clean.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return b"", b""
-    of_doc = [dict.fromkeys(d[found[d]].tolist()) for d, t in zip(sample.docs, y) if t]
-    bad = [spelled(f" {' '.join(sample.words[w] for w in d)} ") for d in of_doc if d]
-    cuts = [(k, i) for k, d in enumerate(sample.docs) if not y[k] for i in range(0, len(d), WIDTH)]
-    cuts = cuts[:: max(1, len(cuts) // TRAINING_WINDOWS)]
-    good = [spelled(f" {' '.join(sample.words[w] for w in sample.docs[k][i : i + WIDTH].tolist())} ") for k, i in cuts]
-    return trained(good, ORDINARY_BYTES), trained(bad, TOXIC_BYTES)
-
-
-def _stretch(text: str, most: int) -> str:
-    """At most `most` consecutive words, from a place that the text itself determines."""
-    words = text.split()
-    if len(words) <= most:
-        return text
-    at = int(mixed(np.array([len(words) * 31 + len(text)], np.uint64))[0] % np.uint64(len(words) - most + 1))
-    return " ".join(words[at : at + most])
+    found = _found_words(clean, sizes[1], sizes[0])
+    if not found:
+        return b"", b""
+    sent = clean.sparkSession.sparkContext.broadcast(frozenset(found))
+    make = lambda: lambda texts: {"b": [" ".join(dict.fromkeys(w for w in t.split(" ") if w in sent.value)) for t in texts]}
+    bad = map_text(clean.where("y = 1"), T.StructType([T.StructField("b", T.StringType())]), make, text_col="s", keep=("k",)).where("b <> ''")
+    bad = [spelled(f" {r.b} ") for r in sorted(bad.collect())]  # the telling words of each toxic document
+    return _ordinary(clean.where("y = 0")), trained(bad, TOXIC_BYTES)
 
 
 def _counted(rows: DataFrame, model: Model, keep: tuple[str, ...], text_col: str) -> DataFrame:
@@ -304,39 +369,34 @@ def _gain_quantiles(rows: DataFrame, model: Model, text_col: str) -> tuple[int,
     return some, max(sure, some)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, sample_words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from docs and the labels (id, 0 or 1) of some of them."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from docs and the labels (id, 0 or 1) of some of them; every labelled row and its whole text is read."""
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("i", "y")
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
-    u = lambda seed: F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    rate = F.when(F.col("y") == 1, min(1.0, per_label / sizes[1])).otherwise(min(1.0, per_label / sizes[0]))
-    drawn = known.where(u("draw") < rate).select("i", "y", (u("part") < FIT_SHARE).alias("first"))  # about 2 * per_label rows
-    sample = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(drawn), "i")
-    sample = materialize(sample, "toxicity-sample")
-    short = lambda: lambda texts: {"s": [_stretch(t, sample_words) for t in texts]}
-    first = map_text(sample.where("first"), T.StructType([T.StructField("s", T.StringType())]), short, text_col="t", keep=("i", "y"))
-    # Bounded: about 2 * per_label stretches of at most sample_words words; sorted, so that a fit can be repeated.
-    rows = sorted(((str(r.i), r.s, r.y) for r in first.collect()))
-    weight = (sizes[0] / min(sizes[0], per_label)) / (sizes[1] / min(sizes[1], per_label))
+    u = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("part")), F.lit(1_000_000)) / 1_000_000
+    told = known.select("i", "y", (u < FIT_SHARE).alias("first"))  # two numbers a label
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(told), "i")
+    since = mark()
+    rows = materialize(rows, "toxicity-labelled")
     base = round(sizes[1] / (sizes[0] + sizes[1]), 6)
-    if len({y for _, _, y in rows}) < 2:
-        return Model(base=base)
-    plain, bad = dictionaries([s for _, s, _ in rows], [y for _, _, y in rows])
-    del rows
-    if not bad:
-        return Model(base=base)
-    rest = sample.where("not first")
-    model = Model(plain, bad)
-    model = Model(plain, bad, _gain_quantiles(rest.where("y = 0"), model, "t"))
-    seen = sorted(_counted(rest, model, ("y",), "t").collect())  # five numbers a document of the sample
-    if len({r.y for r in seen}) < 2:
+    try:
+        plain, bad = dictionaries(rows.where("first"))
+        if not bad:
+            return Model(base=base)
+        rest = rows.where("not first")
+        model = Model(plain, bad)
+        model = Model(plain, bad, _gain_quantiles(rest.where("y = 0"), model, "t"))
+        seen = _counted(rest, model, ("y",), "t").groupBy("y", *FEATURES).agg(F.count("*").alias("n")).orderBy("y", *FEATURES).toArrow()  # seven numbers a document at most
+    finally:
+        drop_since(since)
+    y, n = (seen.column(c).to_numpy().astype(float) for c in ("y", "n"))
+    if len(set(y.tolist())) < 2:
         return Model(base=base)
-    y = np.array([r.y for r in seen], float)
-    x = _inputs([[r[n] for n in FEATURES] for r in seen])
-    return Model(plain, bad, model.least, base, tuple(_logistic(x, y, np.where(y == 1, 1.0, weight)).tolist()))
+    x = _inputs(np.column_stack([seen.column(c).to_numpy() for c in FEATURES]))
+    return Model(plain, bad, model.least, base, tuple(_logistic(x, y, n).tolist()))
 
 
 def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

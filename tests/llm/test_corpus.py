@@ -468,6 +468,20 @@ def test_toxicity_of_unseen_words(spark):
         assert got[i].total == sum(g for g in gain if g >= m.least[0])
 
 
+def test_toxicity_reads_whole_texts(spark):
+    """One word in texts of 3,000 tells; 1,000 words of each were read."""
+    r = random.Random(10)
+    common = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(3000)]
+    texts = [r.choices(common, k=3000) for _ in range(240)]
+    for i in range(0, 240, 6):
+        texts[i][r.randint(0, 2999)] = "zzqxvyw"
+    d = spark.createDataFrame([(i, " ".join(t), int(i % 3 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    clean = toxicity.unrepeated(d.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.col("toxic").alias("y")))
+    assert sorted(x.s for x in clean.collect()) == sorted(" ".join(t) for t in texts)
+    assert toxicity._found_words(clean, 80, 160) == ["zzqxvyw"]
+    assert toxicity.fit(d, d.select("doc_id", "toxic")).toxic
+
+
 def test_toxicity_edges(spark):
     r = random.Random(9)
     rows = [(i, abusive(r, i), int(i % 4 == 0)) for i in range(800)] + [(5000 + i, "one and the same abusive text " * 20, 1) for i in range(300)]
